@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.llm import exact, lines, simhash
+from sparloom.llm import embedding, exact, lines, mixing, packing, sharding, simhash, urls
+from sparloom.llm.common import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,15 +24,58 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(spark, _read(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return packing.pack(spark, _read(spark, sf_dir, "documents"), path("word_bpe_49k.json"), capacity=2048)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, _read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The explicit URL rules of the contract.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is unwanted if the document of its number is labelled toxic or of low quality."""
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("unwanted"))
+    return urls.filter_urls(spark, _read(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw(spark, _read(spark, sf_dir, "documents"))
+    taken = F.aggregate("takes", F.lit(0).cast("bigint"), lambda n, t: n + t["words"])
+    return drawn.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(spark, _read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in batches by id, are compacted, and are read back by the last manifest."""
+    docs = _read(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/sparloom-shards-{uuid.uuid4().hex}")
+    arrivals, at = 8, F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    for i in range(arrivals):
+        store.append(docs.filter(at == i))
+        store.compact()
+    text = F.coalesce("text", F.lit(""))
+    return store.read(schema=docs.schema).select("doc_id", "source", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op7_mixing": op7_mixing,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 _SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -45,6 +91,9 @@ marked AS (SELECT keyed.*, common.k IS NOT NULL AS gone FROM keyed LEFT JOIN com
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r, doc_id
+""",
+    "op10_sharding": """
+SELECT doc_id, source, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
 """,
     "op3_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_A}, {_Z}) AS norm FROM documents),
