@@ -15,7 +15,6 @@ are ignored.
 from __future__ import annotations
 
 import functools
-import hashlib
 import uuid
 
 import numpy as np
@@ -23,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparloom.llm.common import ASCII_SPACE, Scratch, columns_free_of, row_key
 
@@ -125,8 +125,8 @@ class LineRuns:
         self.levels = [[]]
 
 
-def drop_common_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 3) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept) for every row of docs: kept is the text without common lines.
+def common_line_places(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 3) -> DataFrame:
+    """(row_hi, row_lo, places): by row_key, the numbers of the lines whose key min_docs documents hold.
 
     The input is dealt into `batches` by row hash, as if they had arrived one after another.
     """
@@ -139,22 +139,36 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     store.close()
     # both sides are shuffled for this join, so a line that is everywhere can be split
     hit = lines.select(*ROW, "place", *KEY).join(common, KEY)
-    places = hit.groupBy(*ROW).agg(F.collect_set("place").alias("places"))
-    joined = _keyed(docs, id_col, text_col).join(places, ROW, "left").select("doc_id", "text", "places")
+    return hit.groupBy(*ROW).agg(F.collect_set("place").alias("places"))
 
-    def run(batches):
-        for batch in batches:
-            n_lines, n_dropped, kept = [], [], []
-            for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                all_lines = (text or b"").split(b"\n")
-                gone = set(drop or ())
-                n_lines.append(len(all_lines))
-                n_dropped.append(len(gone))
-                kept.append(b"\n".join([x for j, x in enumerate(all_lines) if j not in gone]) if gone else text or b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"])
 
-    return joined.mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept binary")
+def drop_common_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs' columns with text_col rid of common lines, and n_lines and n_dropped, by row of docs.
 
+    A null text stays null. n_lines and n_dropped come last, whatever docs' columns are called.
+    """
+    places = common_line_places(spark, docs, id_col, text_col, **options)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    keyed = docs.select(*row_key(docs[id_col], docs[text_col]), *[docs[c].alias(o) for c, o in zip(docs.columns, own, strict=True)])
+    joined = keyed.join(places, ROW, "left").select("places", *own)
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+    def run(batches):
+        for batch in batches:
+            n_lines, n_dropped, kept = [], [], []
+            for drop, text in zip(batch.column(0).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
+                if drop:
+                    all_lines, gone = text.split("\n"), set(drop)
+                    n_lines.append(len(all_lines))
+                    n_dropped.append(len(gone))
+                    kept.append("\n".join([x for j, x in enumerate(all_lines) if j not in gone]))
+                else:
+                    n_lines.append((text or "").count("\n") + 1)
+                    n_dropped.append(0)
+                    kept.append(text)
+            columns = batch.columns[1:]
+            columns[at] = pa.array(kept, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*own, "n_lines", "n_dropped"])
+
+    fields = StructType([*(StructField(o, f.dataType) for o, f in zip(own, docs.schema.fields, strict=True)), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    return joined.mapInArrow(run, fields).toDF(*docs.columns, "n_lines", "n_dropped")

@@ -7,17 +7,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.llm import embedding, exact, lines, mixing, packing, sharding, simhash, urls
-from sparloom.llm.common import shared_dir
+from sparloom.llm import embedding, exact, lines, lm, mixing, packing, sharding, simhash, toxicity, urls
+from sparloom.llm.common import crc_remainder, shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learns from labels of ids whose crc32 leaves a remainder by 5."""
+    judged = labels.filter(crc_remainder(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("item"), (F.col("toxic") == 1).alias("toxic"))
+    return toxicity.fit(spark, docs, judged)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_common_lines(spark, _read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.drop_common_lines(spark, docs, min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +64,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = crc_remainder(F.col("doc_id"), 5) == 1
+    model = lm.fit(spark, docs.filter(~held_out))
+    scored = lm.score(spark, docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(spark, _read(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -67,15 +88,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(schema=docs.schema).select("doc_id", "source", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_sharding": op10_sharding,
+    "pipeline": pipeline,
 }
 
 _SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
