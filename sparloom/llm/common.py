@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Characters other than A-Z that lower() would change.
-_OTHER_UPPER = r"[[\p{javaUpperCase}\p{Lt}]&&[^A-Z]]"
+#: Characters other than A-Z that lower() might change; those that the JVM doesn't know yet may be
+#: known to the library behind lower().
+_OTHER_UPPER = r"[[\p{javaUpperCase}\p{Lt}\p{Cn}]&&[^A-Z]]"
 #: The six ASCII white-space characters: 0x20 and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
