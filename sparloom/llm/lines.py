@@ -85,8 +85,11 @@ class LineRuns:
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
-        runs = functools.reduce(DataFrame.unionByName, (self.spark.table(n) for n in names))
-        return runs.groupBy(*KEY).agg(F.sum("n").alias("n"))
+        # keys are inverted on the way: Spark takes a union of tables bucketed alike for dealt out by
+        # the key, which it is not, and would then add up each table by itself
+        flipped = [F.bitwise_not(F.col(k)).alias(k) for k in KEY]
+        runs = functools.reduce(DataFrame.unionByName, (self.spark.table(n).select(*flipped, "n") for n in names))
+        return runs.groupBy(*KEY).agg(F.sum("n").alias("n")).select(*flipped, "n")
 
     def unsettled(self, batch: DataFrame) -> DataFrame:
         """The batch's keys and counts without those that a run has settled."""
