@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -335,3 +337,23 @@ def assert_equal(left: Column | str, right: Column | str, prefix: str = "") -> C
     a, b = col(left).cast("string"), col(right).cast("string")
     shown = lambda c: F.coalesce(c, F.lit("null"))
     return F.when(~a.eqNullSafe(b), F.raise_error(F.concat(F.lit(prefix), shown(a), F.lit(" is distinct from "), shown(b))))
+
+
+def inflect_name(name: Column | str, case: int, sex: Column | int, engine: Callable[[str, int, int | None], tuple[int, str]]) -> Column:
+    """A name in one of six grammatical cases, by an engine of the caller's own.
+
+    engine(name, case, sex) gives (state, text); sex is 1 for 1, 0 for 2, and None otherwise, for the
+    engine to find out. A state other than 0 gives "state (case)". There are no rules here.
+    """
+
+    @F.pandas_udf("string")
+    def inflect(names: pd.Series, sexes: pd.Series) -> pd.Series:
+        def one(n, s):
+            if n is None:
+                return None
+            state, text = engine(n, case, {1: 1, 2: 0}.get(None if pd.isna(s) else int(s)))
+            return text if state == 0 else f"{state} ({case})"
+
+        return pd.Series([one(n, s) for n, s in zip(names, sexes, strict=True)])
+
+    return inflect(col(name), F.lit(sex) if isinstance(sex, int) else sex)
