@@ -167,7 +167,7 @@ def test_exchange_raises_the_likelihood():
         return lm.exchange(u // 40, u % 40, n.astype(float), 40, 4, rounds)
 
     assert likelihood(run(8)) > likelihood(run(1)) > likelihood(np.arange(40) % 4)
-    assert likelihood(run(8)) >= 0.95 * likelihood(np.arange(40) // 10)
+    assert likelihood(run(8)) >= likelihood(np.arange(40) // 10) - 1e-6  # the classes that the counts were drawn from
 
 
 # URLs
