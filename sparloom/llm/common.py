@@ -130,7 +130,15 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
 
 def _to_minimum(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the smallest of u and u's neighbours."""
-    # keyed by another expression, so that the join shuffles this side too and can split a hub
-    least = edges.groupBy(F.bitwise_not(F.col("u")).alias("not_u")).agg(F.min("v").alias("lowest"))
-    least = least.select(F.bitwise_not(F.col("not_u")).alias("u"), F.least("lowest", F.bitwise_not(F.col("not_u"))).alias("m"))
-    return edges.join(least, "u")
+    least = grouped_for_join(edges, "u", F.min("v").alias("lowest"))
+    return edges.join(least.select("u", F.least("lowest", "u").alias("m")), "u")
+
+
+def grouped_for_join(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """df's aggregates by a bigint key, to be joined with df on it.
+
+    Grouped by another expression of the key, so that the join shuffles both its sides: Spark can
+    split a hot key in such a join only.
+    """
+    grouped = df.groupBy(F.bitwise_not(F.col(key)).alias("_flipped")).agg(*aggregates)
+    return grouped.withColumn(key, F.bitwise_not(F.col("_flipped"))).drop("_flipped")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, columns_free_of, components
+from sparloom.llm.common import Scratch, columns_free_of, components, grouped_for_join
 
 CODE_BITS = 64
 #: Rows of a block in the window passes and in the exact count.
@@ -54,19 +54,25 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return slim.select("vec_id", F.when(ok, vec).alias("vec")).select("*", F.xxhash64("vec").alias("hi"), F.xxhash64(F.lit(0x5EED), "vec").alias("lo"))
 
 
-def _sorted_pass(spark: SparkSession, scratch: Scratch, reps: DataFrame, one_pass: int, window: int, threshold: float, seed: int) -> DataFrame:
-    """(a, b): pairs of classes within the window of one pass whose cosine reaches the threshold."""
+def _sorted_passes(scratch: Scratch, reps: DataFrame, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
+    """(a, b): ties between classes, made of pairs within the window of a pass whose cosine reaches the
+    threshold.
+
+    All passes are one sort, the pass being the first part of its key, so their number costs rows and
+    not jobs; vectors join once places are known.
+    """
 
     def code(batches):
         for batch in batches:
             vecs = batch.column(1).to_pylist()
-            out = np.zeros(len(vecs), dtype=np.uint64)
             dims = np.array([len(v) for v in vecs])
-            for d in np.unique(dims):
-                at = np.nonzero(dims == d)[0]
-                out[at] = codes(np.array([vecs[i] for i in at], dtype=np.float64), one_pass, seed)
-            signed = (out ^ np.uint64(1 << 63)).view(np.int64)  # keeps the order as a bigint
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(signed)], ["class", "vec", "dim", "code"])
+            some = [(at := np.nonzero(dims == d)[0], np.array([vecs[i] for i in at], dtype=np.float64)) for d in np.unique(dims)]
+            for p in range(passes):
+                out = np.zeros(len(vecs), dtype=np.uint64)
+                for at, x in some:
+                    out[at] = codes(x, p, seed)
+                signed = (out ^ np.uint64(1 << 63)).view(np.int64)  # keeps the order as a bigint
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vecs), p, np.int32)), pa.array(dims, pa.int32()), pa.array(signed), batch.column(0)], ["pass", "dim", "code", "class"])
 
     def place(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -74,26 +80,34 @@ def _sorted_pass(spark: SparkSession, scratch: Scratch, reps: DataFrame, one_pas
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(n, n + batch.num_rows))], [*batch.schema.names, "part", "nth"])
             n += batch.num_rows
 
-    fields = "class bigint, vec array<double>, dim int, code bigint"
-    ordered = reps.mapInArrow(code, fields).sort("dim", "code", "class")
-    rows = scratch.save(ordered.mapInArrow(place, f"{fields}, part int, nth bigint"))
+    fields = "pass int, dim int, code bigint, class bigint"
+    ordered = reps.select("class", "vec").mapInArrow(code, fields).sort("pass", "dim", "code", "class")
+    rows = scratch.save(ordered.mapInArrow(place, f"{fields}, part int, nth bigint").drop("code"))
     # rows in front of a partition, from one count per partition
     counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = rows.join(base, "part").withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = rows.join(F.broadcast(base), "part").withColumn("rank", F.col("base") + F.col("nth"))  # base: a row per partition
     # a block holds BLOCK rows and, as its tail, the first `window` rows of the next
     block = F.expr(f"rank div {BLOCK}")
     copies = F.when(F.col("rank") % BLOCK < window, F.array(block, block - 1)).otherwise(F.array(block))
-    blocks = ranked.select("class", "vec", "dim", "rank", F.explode(copies).alias("block"))
+    blocks = ranked.select("pass", "dim", "class", "rank", F.explode(copies).alias("block")).join(reps.select("class", "vec"), "class")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
+        """A forest of the links in a block: what ties a crowd together, not all its pairs."""
         out = []
-        for _, own in pdf.groupby("dim"):
+        for _, own in pdf.sort_values("rank").groupby(["pass", "dim"]):
             ids, x = own["class"].to_numpy(), _unit(np.array(own["vec"].tolist(), dtype=np.float64))
-            for step in range(1, min(window, len(ids) - 1) + 1):
-                hit = np.nonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold)[0]
-                out.append(pd.DataFrame({"a": ids[hit], "b": ids[hit + step]}))
+            hits = [(np.nonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold)[0], step) for step in range(1, min(window, len(ids) - 1) + 1)]
+            a = np.concatenate([h for h, _ in hits]) if hits else np.zeros(0, np.int64)
+            b = np.concatenate([h + step for h, step in hits]) if hits else a
+            label, before = np.arange(len(ids)), None
+            while before is None or (label != before).any():
+                before = label.copy()
+                np.minimum.at(label, a, label[b])
+                np.minimum.at(label, b, label[a])
+                label = label[label]
+            far = np.nonzero(label != np.arange(len(ids)))[0]
+            out.append(pd.DataFrame({"a": ids[far], "b": ids[label[far]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
     return blocks.groupBy("block").applyInPandas(compare, "a bigint, b bigint")
@@ -105,17 +119,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
     rows = scratch.save(classes(vectors, id_col, vec_col))
     # a class is one value; its number is its hash, which distinct classes would share once in 2^64 pairs
     sizes = scratch.save(rows.filter("vec is not null").groupBy("hi", "lo", "vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("class", F.xxhash64("hi", "lo")))
-    reps = sizes.select("class", "vec")
-    pairs = None
-    for p in range(passes):
-        found = _sorted_pass(spark, scratch, reps, p, window, threshold, seed)
-        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = _sorted_passes(scratch, sizes, passes, window, threshold, seed)
     pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = components(spark, pairs)
     named = sizes.join(roots, sizes["class"] == roots.node, "left").select("class", "vec", "least", "n", F.coalesce("root", "class").alias("root"))
     named = scratch.save(named)
     links = scratch.save(_count_links(spark, scratch, named, threshold))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = grouped_for_join(named, "root", F.min("least").alias("component_id"))
     of = named.join(least, "root").join(links, "class", "left").join(sizes.select("class", "hi", "lo"), "class")
     of = scratch.save(of.select("hi", "lo", "component_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     linked = rows.filter("vec is not null").select("vec_id", "hi", "lo").join(of, ["hi", "lo"]).select("vec_id", "n_links", "component_id")
@@ -129,7 +139,7 @@ def _count_links(spark: SparkSession, scratch: Scratch, named: DataFrame, thresh
     A component's classes are dealt into blocks of about COUNT_BLOCK rows; a task compares two blocks.
     Classes alone in their component are left out.
     """
-    many = named.groupBy("root").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    many = grouped_for_join(named, "root", F.count(F.lit(1)).alias("members")).filter("members > 1")
     crowd = named.join(many, "root").withColumn("blocks", F.expr(f"cast((members + {COUNT_BLOCK} - 1) div {COUNT_BLOCK} as int)"))
     crowd = crowd.withColumn("own", F.expr("cast(pmod(xxhash64(7, class), blocks) as int)"))
     both = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, columns_free_of, components, row_key
+from sparloom.llm.common import Scratch, columns_free_of, components, grouped_for_join, row_key
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -151,7 +151,9 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         mask = sum(0xFF << (8 * p) for p in kept)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         keys.append(F.struct(F.lit(i).alias("positions"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
-    postings = fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key")).select("key.positions", "key.bytes", "fp")
+    # dealt out by number, as a few small files would otherwise become a few long tasks
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = fps.select("fp").repartition(n, "fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key")).select("key.positions", "key.bytes", "fp")
     lists = postings.groupBy("positions", "bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
 
     def run(batches):
@@ -175,7 +177,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(spark, links(classes, max_bits))
     named = scratch.save(classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = grouped_for_join(named, "root", F.min("least").alias("component_id"))
     of = scratch.save(named.join(least, "root").select("fp", "component_id"))
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
