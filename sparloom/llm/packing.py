@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from sparloom.llm.common import Scratch, columns_free_of
 
 END_ID = 1
-#: Words whose ids a worker remembers; beyond it, it starts afresh.
-MEMO_WORDS = 1_000_000
+#: Words, and parts of words, whose ids a worker remembers; beyond it, it starts afresh.
+MEMO_WORDS, MEMO_PIECES = 400_000, 200_000
 #: Characters that normalisation leaves as they are, apart from their case.
 _PLAIN = regex.compile(r"[!-~¡-ɏ]*")
 # The vocabulary file's own cutting pattern.
@@ -78,7 +78,7 @@ class WordIds(dict):
         return out
 
     def _piece(self, p: str) -> bytes:
-        if len(self.pieces) >= MEMO_WORDS:
+        if len(self.pieces) >= MEMO_PIECES:
             self.pieces.clear()
         out = self.pieces[p] = _packed([x.id for x in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
         return out

@@ -32,7 +32,7 @@ BOUNDARY, OTHER, N_SYMBOLS = 0, 27, 28
 # Letters that a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "§": "s",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h",
 }
 #: Channel costs as log10 probabilities.
@@ -41,11 +41,15 @@ NOTHING_FOR_SEPARATOR, BOUNDARY_FOR_SEPARATOR = -0.5, -0.5
 NOTHING_FOR_BLANK, BOUNDARY_FOR_BLANK = -0.3, -0.7
 TWO_AS_TWO, TWO_AS_ONE, MANY_AS_ONE, MANY_AS_TWO = -0.1, -1.0, -0.2, -0.5
 #: Decoded tokens a worker remembers; beyond it, it starts afresh.
-MEMO = 400_000
+MEMO = 200_000
+#: Texts whose features are handed on at once: each has hundreds.
+_TEXTS = 100
 #: Characters counted at once.
 _SLICE = 1 << 20
 
 _ENDS = ".,;:?!\"'()[]{}<>#%&*-_/\\~`^=…«»“”‘’"
+#: A sign in front of a word may stand for its first letter.
+_STARTS = _ENDS.replace("!", "") + "¡"
 _DOUBLE = re.compile(r"(.)\1", re.S)
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _DOLLARS = re.compile(r"\${3,}$")
@@ -193,7 +197,7 @@ class Restorer(dict):
         return out
 
     def decode(self, token: str) -> tuple[str, ...]:
-        core = _DOLLARS.sub("", token.strip(_ENDS)) if " " not in token and "\t" not in token else token
+        core = _DOLLARS.sub("", token.lstrip(_STARTS).rstrip(_ENDS)) if " " not in token and "\t" not in token else token
         if core.isalpha() and not _DOUBLE.search(core) and not any(c in LOOKALIKES for c in core if c > "ɏ"):
             return (core,)
         if not any(c.isalpha() or c in LOOKALIKES for c in core) or core.isdigit():
@@ -327,16 +331,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     def count(batches):
         restore = Restorer(lm)
         for batch in batches:
-            toxic, names, ns = [], [], []
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found: Counter = Counter()
-                for token, n in counted(restore, text)[0].items():
-                    for f in features(restore[token]):
-                        found[f] += n
-                toxic += [y] * len(found)
-                names += found
-                ns += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.bool_()), pa.array(names, pa.string()), pa.array(ns, pa.int64())], ["toxic", "feature", "n"])
+            for at in range(0, batch.num_rows, _TEXTS):
+                some = batch.slice(at, _TEXTS)
+                toxic, names, ns = [], [], []
+                for y, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    found: Counter = Counter()
+                    for token, n in counted(restore, text)[0].items():
+                        for f in features(restore[token]):
+                            found[f] += n
+                    toxic += [y] * len(found)
+                    names += found
+                    ns += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.bool_()), pa.array(names, pa.string()), pa.array(ns, pa.int64())], ["toxic", "feature", "n"])
 
     by_text = sample.mapInArrow(count, "toxic boolean, feature string, n bigint")
     y = F.col("toxic")
