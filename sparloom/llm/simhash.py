@@ -209,8 +209,8 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     The index is the same as above with 256-bit fingerprints: a posting's key is KEY_POSITIONS
     positional bytes, KEYS random choices of them. Each key's list is put in random order by a
-    range sort, which also splits long lists over tasks, and each text meets the next two of its
-    list; over all keys a crowd of copies becomes well connected without all its pairs. Shared
+    range sort, which also splits long lists over tasks, and each text meets the next of its list;
+    over all keys a crowd of copies becomes well connected without all its pairs. Shared
     positional bytes are tallied per pair, and the closest partners of each text that reach the
     minimum are verified on their shingle sets. Equal fingerprints count as copies.
     """
@@ -244,12 +244,12 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             key, node = (np.concatenate([old, new.to_numpy()]) for old, new in zip((last_key, last_node), batch.columns, strict=True))
             a, b = [], []
-            for step in (1, 2):
+            for step in (1,):
                 hit = np.nonzero(key[:-step] == key[step:])[0]
                 hit = hit[hit + step >= len(last_key)]  # pairs with a row of this batch
                 a.append(node[hit])
                 b.append(node[hit + step])
-            last_key, last_node = key[-2:], node[-2:]
+            last_key, last_node = key[-1:], node[-1:]
             x, y = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
