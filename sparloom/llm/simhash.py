@@ -212,7 +212,7 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     range sort, which also splits long lists over tasks, and each text meets the next of its list;
     over all keys a crowd of copies becomes well connected without all its pairs. Shared
     positional bytes are tallied per pair, and the closest partners of each text that reach the
-    minimum are verified on their shingle sets. Equal fingerprints count as copies.
+    minimum are verified on their shingle sets. Texts with equal sets are copies.
     """
     scratch = Scratch(spark, "similar")
     positions = _key_positions()
@@ -221,13 +221,15 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     def sketch(batches):
         for batch in batches:
-            fps = [wide_fingerprint(shingle_hashes(words_of(t or b""), shingle)) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.binary())], ["row_hi", "row_lo", "doc_id", "fp"])
+            sets = [np.unique(shingle_hashes(words_of(t or b""), shingle)) for t in batch.column(3).to_pylist()]
+            fps, digests = [wide_fingerprint(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.binary()), pa.array(digests, pa.binary())], ["row_hi", "row_lo", "doc_id", "fp", "digest"])
 
-    rows = scratch.save(keyed.mapInArrow(sketch, "row_hi bigint, row_lo bigint, doc_id bigint, fp binary"))
+    rows = scratch.save(keyed.mapInArrow(sketch, "row_hi bigint, row_lo bigint, doc_id bigint, fp binary, digest binary"))
     # nulls last: a known id is preferred
     who = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hi", "row_lo")
-    classes = scratch.save(rows.groupBy("fp").agg(F.min(who).alias("first")).withColumn("node", F.xxhash64("fp")))
+    # equal sets have equal fingerprints, as these are taken over different shingles
+    classes = scratch.save(rows.groupBy("digest").agg(F.min(who).alias("first"), F.first("fp").alias("fp")).withColumn("node", F.xxhash64("digest")).drop("digest"))
 
     def post(batches):
         for batch in batches:

@@ -204,3 +204,10 @@ def test_similar_texts(spark, odd, empty):
     # equal words and empty texts are copies; the smallest known id stays
     assert sorted(i for i, _ in got) == [1, 3, 5, 6, 7, 10]
     assert simhash.drop_similar(spark, empty).collect() == []
+
+
+def test_similar_texts_with_the_same_filler_are_not_copies(spark):
+    """One shingle makes up most of each text and all of its fingerprint; the rest is different."""
+    rows = [(i, " ".join(["-"] * 200 + [f"w{i}x{j}" for j in range(60)])) for i in range(6)]
+    kept = simhash.drop_similar(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
