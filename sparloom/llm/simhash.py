@@ -20,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.llm.common import Scratch, columns_free_of, components, grouped_for_join, row_key
@@ -189,8 +189,6 @@ WIDE, KEY_POSITIONS, KEYS = 32, 3, 128
 #: Shared positional bytes that a pair needs before its texts are compared. Texts of similarity 0.8
 #: share 8.6 of 32 on average, and fewer than 4 in one pair of forty.
 LEAST_SHARED = 4
-#: Partners of a text, the closest by fingerprint, whose shingles are compared with its own.
-CLOSEST = 8
 
 
 def wide_fingerprint(h: np.ndarray) -> bytes:
@@ -211,8 +209,8 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     positional bytes, KEYS random choices of them. Each key's list is put in random order by a
     range sort, which also splits long lists over tasks, and each text meets the next of its list;
     over all keys a crowd of copies becomes well connected without all its pairs. Shared
-    positional bytes are tallied per pair, and the closest partners of each text that reach the
-    minimum are verified on their shingle sets. Texts with equal sets are copies.
+    positional bytes are tallied per pair, and all pairs that reach the minimum are verified on their
+    shingle sets. Texts with equal sets are copies.
     """
     scratch = Scratch(spark, "similar")
     positions = _key_positions()
@@ -265,17 +263,13 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, WIDE) for i in (2, 3))
             shared = (x == y).sum(axis=1)
-            bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             ok = np.nonzero(shared >= LEAST_SHARED)[0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(ok)) for i in (0, 1)), pa.array(bits[ok])], ["a", "b", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(ok)) for i in (0, 1))], ["a", "b"])
 
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(tally, "a bigint, b bigint, bits bigint")
+    close = pairs.join(left, "a").join(right, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(tally, "a bigint, b bigint")
     close = scratch.save(close)
-    either = close.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("node"))
-    nearest = either.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("bits", F.xxhash64("a", "b")))).filter(f"place <= {CLOSEST}").select("a", "b").distinct()
-    nearest = scratch.save(nearest)
     # the shingle sets of the texts concerned only
-    wanted = nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     of_row = classes.join(wanted, "node").select("node", "first.row_hi", "first.row_lo")
 
     def shingle_sets(batches):
@@ -297,7 +291,7 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    links = nearest.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
+    links = close.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
     roots = components(spark, scratch.save(links))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keep")).select("keep.row_hi", "keep.row_lo").withColumn("keeper", F.lit(True))

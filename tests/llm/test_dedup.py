@@ -211,3 +211,19 @@ def test_similar_texts_with_the_same_filler_are_not_copies(spark):
     rows = [(i, " ".join(["-"] * 200 + [f"w{i}x{j}" for j in range(60)])) for i in range(6)]
     kept = simhash.drop_similar(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
+
+
+def crowds(tag, members=12):
+    """(id, text): two crowds of close copies that one pair alone ties together, at 180 of 220 shingles."""
+    base = [f"{tag}w{j}" for j in range(204)]
+    other = base[:-20] + [f"{tag}o{j}" for j in range(20)]
+    texts = [base, other]
+    for c in range(2):
+        texts += [[f"{tag}c{c}m{i}x{j}" for j in range(10)] + texts[c][10:] for i in range(members)]
+    return [" ".join(t) for t in texts]
+
+
+def test_similar_crowds_tied_by_one_pair(spark):
+    """All nearest partners of both texts of the pair are of their own crowd."""
+    df = spark.createDataFrame(list(enumerate(crowds("a"))), "doc_id bigint, text string")
+    assert [r.doc_id for r in simhash.drop_similar(spark, df).collect()] == [0]
