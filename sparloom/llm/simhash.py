@@ -15,6 +15,7 @@ unless the component has no other. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -184,115 +185,160 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 # Near copies by the similarity of their shingle sets
 
-#: Bytes of a wide fingerprint, positions strung together in a posting's key, and keys per text.
-WIDE, KEY_POSITIONS, KEYS = 32, 3, 128
-#: Shared positional bytes that a pair needs before its texts are compared. Texts of similarity 0.8
-#: share 8.6 of 32 on average, and fewer than 4 in one pair of forty.
-LEAST_SHARED = 4
+#: Orders of the shingles whose lowest one is a key of the folding round.
+FOLDS = 16
+#: Texts counted, about, and counters for the order of shingles from rare to common. They decide how
+#: long lists are, not what is found.
+COUNTED, COUNTERS = 1 << 16, 1 << 22
+_SLACK = 1e-9
 
 
-def wide_fingerprint(h: np.ndarray) -> bytes:
-    return b"".join(majority(mixed(h, lane)).to_bytes(8, "little") for lane in range(WIDE // 8))
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets with at least this similarity, the first so many shingles of each, in one order for
+    all sets, have one in common."""
+    return n - math.ceil(similarity * n - _SLACK) + 1 if n else 0
 
 
-def _key_positions(seed: int = 5) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.array([np.sort(rng.choice(WIDE, KEY_POSITIONS, replace=False)) for _ in range(KEYS)])
+def _rarity(spark: SparkSession, sets: DataFrame, n_texts: int) -> np.ndarray:
+    """By counter, how many of a sample of the texts hold one of its shingles."""
 
+    def count(batches):
+        c = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                np.add.at(c, (np.frombuffer(s, "<u8") & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        at = np.nonzero(c)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at])], ["counter", "n"])
+
+    every = max(1, n_texts // COUNTED)
+    some = sets.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(every)) == 0).select("shingles")
+    table = some.mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n"))
+    table = table.select(F.col("counter").cast("int").alias("counter"), "n").toArrow()  # a row per counter at most
+    out = np.zeros(COUNTERS, np.uint16)
+    out[table["counter"].to_numpy()] = table["n"].to_numpy()
+    return out
 
-def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row_hi, row_lo, keeper): for each different (id, text) of docs, its row_key and whether it is
-    the one that stays of its group. Groups are the components of links between texts whose sets of
-    word shingles have a Jaccard similarity of at least `similarity`; the smallest id stays.
 
-    The index is the same as above with 256-bit fingerprints: a posting's key is KEY_POSITIONS
-    positional bytes, KEYS random choices of them. Each key's list is put in random order by a
-    range sort, which also splits long lists over tasks, and each text meets the next of its list;
-    over all keys a crowd of copies becomes well connected without all its pairs. Shared
-    positional bytes are tallied per pair, and all pairs that reach the minimum are verified on their
-    shingle sets. Texts with equal sets are copies.
-    """
-    scratch = Scratch(spark, "similar")
-    positions = _key_positions()
-    slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
-    keyed = slim.select(*row_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity."""
 
-    def sketch(batches):
+    def verify(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t or b""), shingle)) for t in batch.column(3).to_pylist()]
-            fps, digests = [wide_fingerprint(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.binary()), pa.array(digests, pa.binary())], ["row_hi", "row_lo", "doc_id", "fp", "digest"])
+            ok = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(j)[i].as_py(), "<u8") for j in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    ok.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok, pa.int64())) for i in (0, 1)], ["a", "b"])
 
-    rows = scratch.save(keyed.mapInArrow(sketch, "row_hi bigint, row_lo bigint, doc_id bigint, fp binary, digest binary"))
-    # nulls last: a known id is preferred
-    who = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hi", "row_lo")
-    # equal sets have equal fingerprints, as these are taken over different shingles
-    classes = scratch.save(rows.groupBy("digest").agg(F.min(who).alias("first"), F.first("fp").alias("fp")).withColumn("node", F.xxhash64("digest")).drop("digest"))
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
+
+
+def _neighbours(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(a, b): texts that are next to each other in the list of a key, the lowest shingle of an order.
+    A range sort by key and a random number splits long lists over tasks."""
 
     def post(batches):
         for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE).astype(np.int64)
-            node = batch.column(0).to_numpy()
-            for i, p in enumerate(positions):
-                key = np.full(len(node), i, dtype=np.int64)
-                for at in p:
-                    key = key << 8 | fp[:, at]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+            keys, at = [], []
+            for i, s in enumerate(batch.column(1).to_pylist()):
+                h = np.frombuffer(s, "<u8")
+                if len(h):
+                    keys += [int(mixed(h, k).min()) ^ k for k in range(1, FOLDS + 1)]
+                    at += [i] * FOLDS
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype="<u8").view("<i8")), batch.column(0).take(pa.array(at, pa.int64()))], ["key", "node"])
 
     def meet(batches):
         last_key, last_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             key, node = (np.concatenate([old, new.to_numpy()]) for old, new in zip((last_key, last_node), batch.columns, strict=True))
-            a, b = [], []
-            for step in (1,):
-                hit = np.nonzero(key[:-step] == key[step:])[0]
-                hit = hit[hit + step >= len(last_key)]  # pairs with a row of this batch
-                a.append(node[hit])
-                b.append(node[hit + step])
+            hit = np.nonzero(key[:-1] == key[1:])[0]
+            x, y = node[hit], node[hit + 1]
             last_key, last_node = key[-1:], node[-1:]
-            x, y = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    postings = classes.select("node", "fp").mapInArrow(post, "key bigint, node bigint")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = postings.withColumn("turn", F.xxhash64("key", "node")).repartitionByRange(n, "key", "turn").sortWithinPartitions("key", "turn").select("key", "node")
-    pairs = scratch.save(ordered.mapInArrow(meet, "a bigint, b bigint").filter("a <> b").distinct())
-    left, right = (classes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    postings = sets.select("node", "shingles").mapInArrow(post, "key bigint, node bigint").withColumn("turn", F.xxhash64("key", "node"))
+    ordered = postings.repartitionByRange(n, "key", "turn").sortWithinPartitions("key", "turn").select("key", "node")
+    return ordered.mapInArrow(meet, "a bigint, b bigint").filter("a <> b").distinct()
 
-    def tally(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, WIDE) for i in (2, 3))
-            shared = (x == y).sum(axis=1)
-            ok = np.nonzero(shared >= LEAST_SHARED)[0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(ok)) for i in (0, 1))], ["a", "b"])
 
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(tally, "a bigint, b bigint")
-    close = scratch.save(close)
-    # the shingle sets of the texts concerned only
-    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    of_row = classes.join(wanted, "node").select("node", "first.row_hi", "first.row_lo")
+def _candidates(scratch: Scratch, sets: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b): all pairs of different roots that may reach the similarity, by their prefixes."""
 
-    def shingle_sets(batches):
+    def post(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t or b""), shingle)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+            keys, at, places, sizes = [], [], [], []
+            for i, s in enumerate(batch.column(2).to_pylist()):
+                h = np.frombuffer(s, "<u8")
+                n = prefix_length(len(h), similarity)
+                first = np.lexsort((h, rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n]
+                keys.append(h[first])
+                at.append(np.full(n, i))
+                places.append(np.arange(n, dtype=np.int32))
+                sizes.append(np.full(n, len(h), dtype=np.int32))
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *at]))
+            keys = np.concatenate([np.zeros(0, "<u8"), *keys]).view("<i8")
+            places, sizes = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (places, sizes))
+            whole = pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(at), batch.column(1).take(at), pa.array(places), pa.array(sizes)], ["key", "node", "root", "place", "size"])
+            for start in range(0, max(1, whole.num_rows), _CHUNK):
+                yield whole.slice(start, _CHUNK)
+
+    postings = sets.select("node", "root", "shingles").mapInArrow(post, "key bigint, node bigint, root bigint, place int, size int")
+    postings = scratch.save(postings)
+    # lists inside one group, as most are, have nothing to find
+    mixed_lists = postings.groupBy(F.bitwise_not(F.col("key")).alias("_flipped")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    wanted = scratch.save(postings.join(mixed_lists.select(F.bitwise_not(F.col("_flipped")).alias("key")), "key"))
+    scratch.drop(postings)
+    left, right = (wanted.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "place", "size")]) for x in "ab")
+    # what two sets share is at most what lies before, at and behind a common shingle
+    most = F.least("place_a", "place_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = most >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - _SLACK
+    sized = (F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - _SLACK)
+    met = left.hint("merge").join(right, (left.key == right.key) & (F.col("root_a") < F.col("root_b")) & enough & sized)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
-    texts = keyed.join(of_row, ["row_hi", "row_lo"]).select("node", "text")
-    sets = scratch.save(texts.mapInArrow(shingle_sets, "node bigint, shingles binary").dropDuplicates(["node"]))
 
-    def verify(batches):
+def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row_hi, row_lo, keeper): for each different (id, text) of docs, its row_key and whether it is
+    the one that stays of its group. Groups are the components of links between texts whose sets of
+    word shingles have a Jaccard similarity of at least `similarity`; the smallest id stays.
+
+    Texts with equal sets are one class. A folding round ties most of every crowd together: each class
+    is verified against its neighbours under FOLDS keys. The second round is complete: every class posts
+    the prefix of its set, from rare to common shingles, and two classes that reach the similarity share
+    a posting's key. Lists whose classes are all of one group are passed over, as links inside a group
+    add nothing; all pairs between groups in the others that can reach the similarity by size and place
+    are verified. Texts without words are copies of each other.
+    """
+    scratch = Scratch(spark, "similar")
+    slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
+    keyed = slim.select(*row_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
+
+    def shingle_sets(batches):
         for batch in batches:
-            ok = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
-                    ok.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok, pa.int64())) for i in (0, 1)], ["a", "b"])
+            for start in range(0, batch.num_rows, 512):
+                some = batch.slice(start, 512)
+                sets = [np.unique(shingle_hashes(words_of(t or b""), shingle)).astype("<u8").tobytes() for t in some.column(3).to_pylist()]
+                digests = [xxhash.xxh3_128_digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["row_hi", "row_lo", "doc_id", "digest", "shingles"])
 
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    links = close.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
-    roots = components(spark, scratch.save(links))
+    rows = scratch.save(keyed.mapInArrow(shingle_sets, "row_hi bigint, row_lo bigint, doc_id bigint, digest binary, shingles binary").withColumn("node", F.xxhash64("digest")))
+    # nulls last: a known id is preferred
+    who = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hi", "row_lo")
+    classes = scratch.save(rows.groupBy("digest", "node").agg(F.min(who).alias("first")).drop("digest"))
+    # of each class the set of its first row; repeated rows have equal keys
+    firsts = classes.select("node", "first.row_hi", "first.row_lo")
+    sets = scratch.save(rows.select("row_hi", "row_lo", "shingles").join(firsts, ["row_hi", "row_lo"]).select("node", "shingles").dropDuplicates(["node"]))
+    folded = scratch.save(_verified(_neighbours(spark, sets), sets, similarity))
+    roots = components(spark, folded)
+    grouped = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
+    candidates = scratch.save(_candidates(scratch, grouped, _rarity(spark, sets, classes.count()), similarity))
+    links = scratch.save(_verified(candidates, sets, similarity))
+    # what the first round tied is a star around its root by now
+    roots = components(spark, links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keep")).select("keep.row_hi", "keep.row_lo").withColumn("keeper", F.lit(True))
     return rows.select("row_hi", "row_lo").distinct().join(keepers, ["row_hi", "row_lo"], "left").withColumn("keeper", F.coalesce("keeper", F.lit(False)))

@@ -227,3 +227,21 @@ def test_similar_crowds_tied_by_one_pair(spark):
     """All nearest partners of both texts of the pair are of their own crowd."""
     df = spark.createDataFrame(list(enumerate(crowds("a"))), "doc_id bigint, text string")
     assert [r.doc_id for r in simhash.drop_similar(spark, df).collect()] == [0]
+
+
+def test_similar_texts_miss_no_pair_at_the_threshold(spark):
+    """Lone pairs at exactly 0.8 and just below: 160 of 200 shingles and 159 of 201."""
+    rows, want = [], []
+    for g in range(80):
+        n, changed = (180, 20) if g % 2 else (180, 21)
+        base = [f"g{g}w{j}" for j in range(n + 4)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-changed] + [f"g{g}o{j}" for j in range(changed)]))]
+        want += [2 * g] if g % 2 else [2 * g, 2 * g + 1]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_similar(spark, df).collect()) == want
+
+
+def test_similar_crowds_are_all_tied(spark):
+    texts = [t for g in range(10) for t in crowds(f"k{g}", members=9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_similar(spark, df).collect()) == list(range(0, len(texts), 20))
