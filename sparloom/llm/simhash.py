@@ -186,11 +186,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 # Near copies by the similarity of their shingle sets
 
 #: Orders of the shingles whose lowest one is a key of the folding round.
-FOLDS = 16
+FOLDS = 8
 #: Texts counted, about, and counters for the order of shingles from rare to common. They decide how
 #: long lists are, not what is found.
 COUNTED, COUNTERS = 1 << 16, 1 << 22
 _SLACK = 1e-9
+#: Keys up to which a filter is broadcast; more are shuffled.
+FEW = 1_000_000
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -199,6 +201,11 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - _SLACK) + 1 if n else 0
 
 
+def _having(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """df's rows whose key is in the one column of the saved table keys; a short one spares df a shuffle."""
+    return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, keys.columns[0], "left_semi")
+
+
 def _rarity(spark: SparkSession, sets: DataFrame, n_texts: int) -> np.ndarray:
     """By counter, how many of a sample of the texts hold one of its shingles."""
 
@@ -219,8 +226,10 @@ def _rarity(spark: SparkSession, sets: DataFrame, n_texts: int) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
+    pairs = scratch.save(pairs)
+    sets = _having(sets, scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
     def verify(batches):
         for batch in batches:
@@ -265,13 +274,13 @@ def _neighbours(spark: SparkSession, sets: DataFrame) -> DataFrame:
     return ordered.mapInArrow(meet, "a bigint, b bigint").filter("a <> b").distinct()
 
 
-def _candidates(scratch: Scratch, sets: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
+def _candidates(scratch: Scratch, sets: DataFrame, roots: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
     """(a, b): all pairs of different roots that may reach the similarity, by their prefixes."""
 
     def post(batches):
         for batch in batches:
             keys, at, places, sizes = [], [], [], []
-            for i, s in enumerate(batch.column(2).to_pylist()):
+            for i, s in enumerate(batch.column(1).to_pylist()):
                 h = np.frombuffer(s, "<u8")
                 n = prefix_length(len(h), similarity)
                 first = np.lexsort((h, rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n]
@@ -282,21 +291,21 @@ def _candidates(scratch: Scratch, sets: DataFrame, rarity: np.ndarray, similarit
             at = pa.array(np.concatenate([np.zeros(0, np.int64), *at]))
             keys = np.concatenate([np.zeros(0, "<u8"), *keys]).view("<i8")
             places, sizes = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (places, sizes))
-            whole = pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(at), batch.column(1).take(at), pa.array(places), pa.array(sizes)], ["key", "node", "root", "place", "size"])
+            whole = pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(at), pa.array(places), pa.array(sizes)], ["key", "node", "place", "size"])
             for start in range(0, max(1, whole.num_rows), _CHUNK):
                 yield whole.slice(start, _CHUNK)
 
-    postings = sets.select("node", "root", "shingles").mapInArrow(post, "key bigint, node bigint, root bigint, place int, size int")
-    postings = scratch.save(postings)
+    postings = sets.select("node", "shingles").mapInArrow(post, "key bigint, node bigint, place int, size int")
+    postings = scratch.save(postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # lists inside one group, as most are, have nothing to find
-    mixed_lists = postings.groupBy(F.bitwise_not(F.col("key")).alias("_flipped")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    wanted = scratch.save(postings.join(mixed_lists.select(F.bitwise_not(F.col("_flipped")).alias("key")), "key"))
+    flipped = postings.groupBy(F.bitwise_not(F.col("key")).alias("_flipped")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    wanted = scratch.save(_having(postings, scratch.save(flipped.select(F.bitwise_not(F.col("_flipped")).alias("key")))))
     scratch.drop(postings)
     left, right = (wanted.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "place", "size")]) for x in "ab")
     # what two sets share is at most what lies before, at and behind a common shingle
     most = F.least("place_a", "place_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     enough = most >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - _SLACK
-    sized = (F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - _SLACK)
+    sized = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - _SLACK
     met = left.hint("merge").join(right, (left.key == right.key) & (F.col("root_a") < F.col("root_b")) & enough & sized)
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -317,26 +326,33 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
     keyed = slim.select(*row_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
 
+    def distinct_shingles(texts):
+        return [np.unique(shingle_hashes(words_of(t or b""), shingle)).astype("<u8").tobytes() for t in texts.to_pylist()]
+
+    def digest(batches):
+        for batch in batches:
+            digests = [xxhash.xxh3_128_digest(s) for s in distinct_shingles(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary())], ["row_hi", "row_lo", "doc_id", "digest"])
+
     def shingle_sets(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 some = batch.slice(start, 512)
-                sets = [np.unique(shingle_hashes(words_of(t or b""), shingle)).astype("<u8").tobytes() for t in some.column(3).to_pylist()]
-                digests = [xxhash.xxh3_128_digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["row_hi", "row_lo", "doc_id", "digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(distinct_shingles(some.column(1)), pa.binary())], ["node", "shingles"])
 
-    rows = scratch.save(keyed.mapInArrow(shingle_sets, "row_hi bigint, row_lo bigint, doc_id bigint, digest binary, shingles binary").withColumn("node", F.xxhash64("digest")))
+    rows = scratch.save(keyed.mapInArrow(digest, "row_hi bigint, row_lo bigint, doc_id bigint, digest binary"))
     # nulls last: a known id is preferred
     who = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hi", "row_lo")
-    classes = scratch.save(rows.groupBy("digest", "node").agg(F.min(who).alias("first")).drop("digest"))
-    # of each class the set of its first row; repeated rows have equal keys
+    classes = scratch.save(rows.groupBy("digest").agg(F.min(who).alias("first")).withColumn("node", F.xxhash64("digest")).drop("digest"))
+    # of each class the text of its first row; rows of equal keys are equal
     firsts = classes.select("node", "first.row_hi", "first.row_lo")
-    sets = scratch.save(rows.select("row_hi", "row_lo", "shingles").join(firsts, ["row_hi", "row_lo"]).select("node", "shingles").dropDuplicates(["node"]))
-    folded = scratch.save(_verified(_neighbours(spark, sets), sets, similarity))
+    texts = keyed.select("row_hi", "row_lo", "text").dropDuplicates(["row_hi", "row_lo"]).join(firsts, ["row_hi", "row_lo"])
+    sets = scratch.save(texts.select("node", "text").mapInArrow(shingle_sets, "node bigint, shingles binary"))
+    folded = scratch.save(_verified(scratch, _neighbours(spark, sets), sets, similarity))
     roots = components(spark, folded)
-    grouped = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
-    candidates = scratch.save(_candidates(scratch, grouped, _rarity(spark, sets, classes.count()), similarity))
-    links = scratch.save(_verified(candidates, sets, similarity))
+    candidates = _candidates(scratch, sets, roots, _rarity(spark, sets, classes.count()), similarity)
+    links = scratch.save(_verified(scratch, candidates, sets, similarity))
+    scratch.drop(sets)
     # what the first round tied is a star around its root by now
     roots = components(spark, links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
