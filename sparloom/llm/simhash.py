@@ -331,7 +331,7 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     def digest(batches):
         for batch in batches:
-            digests = [xxhash.xxh3_128_digest(s) for s in distinct_shingles(batch.column(3))]
+            digests = [xxhash.xxh3_128_digest(s) for start in range(0, batch.num_rows, 512) for s in distinct_shingles(batch.column(3).slice(start, 512))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary())], ["row_hi", "row_lo", "doc_id", "digest"])
 
     def shingle_sets(batches):
