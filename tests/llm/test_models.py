@@ -214,6 +214,24 @@ def test_mined_rules(spark):
     assert all((v == "block") == (i % 3 == 0 and i % 2 == 1) for i, v in out.items())
 
 
+def test_rules_of_deep_segments_and_many_tokens(spark):
+    """What tells pages apart is in the third segment or later, or in four tokens together."""
+    rows, bad = [], {}
+    for i in range(320):
+        deep = "casino" if i % 4 == 0 else "garden"
+        rows.append((i, f"http://a.info/x/y{i % 3}/{deep}/p{i}/" + "/".join(f"s{i}x{j}" for j in range(25))))
+        bad[i] = i % 4 == 0
+    for i in range(320, 640):
+        rows.append((i, "http://b.info/q?" + "&".join(k for j, k in enumerate("klmn") if i >> j & 1)))
+        bad[i] = i % 16 == 15
+    rows.append((700, "http://c.info/1/2/3/4/5/casino"))
+    bad[700] = True
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, b) for i, b in bad.items() if i < 300 or 320 <= i < 600], "item bigint, unwanted boolean")
+    out = {r.page_id: r.verdict for r in urls.filter_urls(spark, pages, labels, [], min_support=0.002, min_confidence=0.9).collect()}
+    assert {i for i, v in out.items() if v == "block"} == {i for i, b in bad.items() if b}
+
+
 def test_matching_is_that_of_subsets(spark):
     rules = [("a", "b"), ("c",), ("a", "d", "e")]
     sets = [["a", "b"], ["a"], ["c", "x"], ["a", "d"], ["e", "d", "a"], [], ["b", "d"]]
