@@ -21,10 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has none (tests on one machine) a local folder is set once.
+    Where the session has none, a local folder is set once if all runs in one process (as tests do);
+    on a cluster the executors would not share it, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

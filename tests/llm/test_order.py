@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparloom.llm import mixing, packing, sharding
 
@@ -164,7 +165,11 @@ def test_shards(spark, odd, empty, tmp_path):
     tiers = Counter(r.tier(store.small_bytes, store.fan_in) for r in store.manifest())
     assert max(tiers.values()) < 3 and len(store.manifest()) < 7
     live = {r.path for r in store.manifest()}
+    old = store.read(version=0)
+    assert store.vacuum() == 0 and old.count() == len(range(0, 4000, 7))  # all are younger than the retention
+    assert store.vacuum(keep_seconds=0) > 0
     assert {str(p) for p in (tmp_path / "store" / "runs").iterdir()} == {p.removeprefix("file:") for p in live}
+    assert sorted(r.id for r in store.read().select("id").collect()) == list(range(4000))
     # a writer that has read an older version can't commit over a newer one
     with pytest.raises(RuntimeError):
         store.commit([], store.version() - 1)
@@ -183,3 +188,62 @@ def test_a_merge_that_never_commits_changes_nothing(spark, tmp_path):
     store._merge(store.manifest())  # and then the driver is lost
     assert store.version() == version and store.read().count() == 20
     assert store.compact() == 1 and store.read().count() == 20 and len(store.manifest()) == 1
+
+
+def test_interleaved_writers(spark, tmp_path):
+    """Two writers: neither a vacuum nor a merge takes what the other has yet to commit."""
+    root = str(tmp_path / "two")
+    one, two = (sharding.ShardStore(spark, root, fan_in=2) for _ in range(2))
+    one.append(spark.range(10).toDF("id"))
+    spark.range(100, 110).toDF("id").write.parquet(f"{root}/runs/late")
+    late = two._run(f"{root}/runs/late")  # written, not committed
+    one.append(spark.range(10, 20).toDF("id"))
+    assert one.compact() == 1
+    one.vacuum(keep_seconds=0)
+    two._add([late], spark.range(1).toDF("id").schema)
+    assert sorted(r.id for r in one.read().collect()) == [*range(20), *range(100, 110)]
+    # a writer that finds its version taken tries again on top of the newer one
+    at = two.version()
+    one.append(spark.range(200, 203).toDF("id"))
+    with pytest.raises(sharding.Conflict):
+        two.commit(two.manifest(at), at)
+    # a merge that another writer was quicker to do is not committed twice
+    runs = two.manifest()
+    merged = two._merge(runs)
+    assert one.compact() >= 1
+    assert two._replace(runs, merged) is False
+    assert sorted(r.id for r in two.read().collect()) == [*range(20), *range(100, 110), *range(200, 203)]
+
+
+def test_columns_added_later_outlive_merges(spark, tmp_path):
+    for k in range(3):
+        store = sharding.ShardStore(spark, str(tmp_path / f"s{k}"), fan_in=2)
+        store.append(spark.range(5).toDF("id"))
+        store.append(spark.range(5, 8).selectExpr("id AS ID", "concat('x', id) more", "array(id) many"))
+        store.append(spark.range(0).selectExpr("id", "1 AS never"))
+        assert store.compact() == 1 and len(store.manifest()) == 1
+        store.append(spark.range(8, 9).selectExpr("'z' more", "id"))
+        got = {r.id: (r.more, r.many) for r in store.read().collect()}
+        assert got == {**{i: (None, None) for i in range(5)}, **{i: (f"x{i}", [i]) for i in range(5, 8)}, 8: ("z", None)}
+        version = store.version()
+        with pytest.raises(ValueError, match="more is bigint, in the store string"):
+            store.append(spark.range(1).selectExpr("id", "id AS more"))
+        assert store.version() == version and store.read().columns == ["id", "more", "many"]
+
+
+def test_one_pass_of_arrivals(spark, odd, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "each"), fan_in=3)
+    store.append_each(odd, F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    assert store.version() >= 3 and store.read().columns == odd.columns
+    assert Counter(map(str, store.read().collect())) == Counter(map(str, odd.collect()))
+
+
+def test_a_taken_name_is_not_overwritten(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "r"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in "ab":
+        (tmp_path / name).write_text(name)
+    store._rename(path(f"file:{tmp_path}/a"), path(f"file:{tmp_path}/c"))
+    with pytest.raises(Exception, match="exists"):
+        store._rename(path(f"file:{tmp_path}/b"), path(f"file:{tmp_path}/c"))
+    assert (tmp_path / "c").read_text() == "a"
