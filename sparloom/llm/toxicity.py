@@ -3,12 +3,19 @@
 A token, or a run of single letters set apart by blanks, becomes a lattice: each place offers
 letters for look-alike digits and signs, one or two copies for a run of the same letter, and for
 separators or blanks a word boundary or nothing. Viterbi search finds the most likely path under
-channel costs and a character trigram model counted on all texts. The words restored this way and
-their stems are the features of a logistic regression on labelled texts.
+channel costs and a character trigram model counted on all texts. Labelled texts give a lexicon of
+restored words and stems that toxic texts have far more often than others. A text's score is a
+logistic function of two measures: how many of its restored words the lexicon covers, and how dense
+they are.
+
+Labels: where they hold texts of one kind only, or nothing tells the kinds apart, no lexicon can be
+learned; every text then gets the same score, which is below 0.5, so nothing is rejected unjudged.
+A text without a word of the lexicon never scores 0.5 or more, however many labels are toxic. Labels
+that are null are left out, of several labels of a document the highest counts.
 
 Rows: a null or empty text has no words and gets the score of the intercept alone; a null doc_id is
-carried; repeated rows are scored each by itself; labels that are null are left out, of several
-labels of a document the highest counts. Extra columns are ignored.
+carried; repeated rows are scored each by itself; texts of any length are read whole, tokens over
+64 characters without being remembered. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -322,9 +329,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     texts as in others and its log-likelihood ratios, by tokens and by texts, are least_gain.
     """
     lm = fit_language_model(docs, text_col)
-    some = labels.filter("item is not null and toxic is not null").groupBy("item").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("item"), "item").limit(max_labelled)
-    slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
     scratch = Scratch(spark, "toxicity")
+    some = lowest_hashes(scratch, labels.filter("item is not null and toxic is not null").groupBy("item").agg(F.max("toxic").alias("toxic")), max_labelled)
+    slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
     sample = slim.join(F.broadcast(some), slim.doc_id == some.item).filter("text is not null").select("toxic", "text", F.xxhash64("text").alias("text_hash")).dropDuplicates(["toxic", "text_hash"])
     sample = scratch.save(sample.select("toxic", "text"))
 
@@ -350,10 +357,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     n = {r["toxic"]: (r["texts"], r["tokens"]) for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size(F.split("text", r"\s+"))).alias("tokens")).collect()}
     (docs_a, n_a), (docs_b, n_b) = n.get(True, (0, 0)), n.get(False, (0, 0))
     if not docs_a or not docs_b:
-        return Model(lm, (0.0, 0.0, math.log((docs_a + 0.5) / (docs_b + 0.5))))
+        return unlearned(lm, docs_b)
     # only features that can pass; their number is bounded by the sample's
     table = table.filter((F.col("da") >= 3) & (F.col("a") / n_a >= ratio * F.col("b") / n_b)).toPandas()
     lexicon = frozenset(select(table, n_a, n_b, docs_a, docs_b, least_gain, ratio, max_features))
+    if not lexicon:
+        return unlearned(lm, docs_b)
 
     def measure(batches):
         hits = _hits(lm, lexicon)
@@ -363,7 +372,28 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 
     seen = sample.mapInArrow(measure, "toxic boolean, hits bigint, n bigint").toPandas()
     x = np.array([measures(h, k) for h, k in zip(seen["hits"], seen["n"], strict=True)])
-    return Model(lm, tuple(map(float, logistic(x[:, :2], seen["toxic"].to_numpy(float)))), lexicon)
+    *slopes, intercept = map(float, logistic(x[:, :2], seen["toxic"].to_numpy(float)))
+    return Model(lm, (*slopes, min(intercept, math.log(0.5))), lexicon)
+
+
+def unlearned(lm: list[float], clean: int) -> Model:
+    """A model without a lexicon: one score for all texts, 1/3 or less, lower with more clean labels."""
+    return Model(lm, (0.0, 0.0, math.log(0.5 / (clean + 1))))
+
+
+def lowest_hashes(scratch: Scratch, items: DataFrame, most: int) -> DataFrame:
+    """The rows of different items with the lowest hashes of the item, `most` at most.
+
+    The hash is cut at a share of its range that holds them all but for one case in some thousands,
+    so that what is sorted in the end is about `most` rows, however many there are.
+    """
+    items = scratch.save(items.withColumn("_hash", F.xxhash64("item")))
+    n = items.count()
+    share = (most + 4 * math.sqrt(most) + 16) / n if n > most else 1.0
+    if share < 1:
+        below = items.filter(F.col("_hash") < int(-(2**63) + share * 2**64))
+        items = below if below.count() >= most else items
+    return items.orderBy("_hash", "item").limit(most).drop("_hash")
 
 
 def _hits(lm: list[float], lexicon: frozenset[str]):

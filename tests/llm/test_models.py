@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparloom.llm import embedding, lm, toxicity, urls
-from sparloom.llm.common import crc_remainder
+from sparloom.llm.common import Scratch, crc_remainder
 
 
 def crc(i, n):
@@ -106,6 +106,57 @@ def test_toxicity_of_odd_rows(spark, odd, empty, model):
     assert toxicity.fit(spark, empty, no_labels).lexicon == frozenset()
 
 
+@pytest.mark.parametrize("kinds", ["none", "clean only", "toxic only", "untellable"])
+def test_without_usable_labels_nothing_is_rejected(spark, corpus, odd, kinds):
+    docs, labels = corpus
+    some = {"none": labels.limit(0), "clean only": labels.filter("not toxic"), "toxic only": labels.filter("toxic"), "untellable": labels.select("item", (F.xxhash64("item") % 3 != 0).alias("toxic"))}[kinds]
+    m = toxicity.fit(spark, docs, some)
+    assert m.lexicon == frozenset()
+    scores = {r.score for r in toxicity.score(docs, m).collect()}
+    assert len(scores) == 1 and scores.pop() <= 1 / 3
+    assert toxicity.keep_clean(docs, m).count() == docs.count() and toxicity.keep_clean(odd, m).count() == odd.count()
+
+
+def test_mostly_toxic_labels_dont_reject_plain_texts(spark, corpus):
+    docs, labels = corpus
+    m = toxicity.fit(spark, docs, labels.filter("toxic or item < 40"))
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, m).collect()}
+    assert {i for i in range(400) if i % 4} <= kept and m.lexicon
+    assert toxicity.score(docs.limit(1).selectExpr("doc_id", "'' AS text"), m).first().score < 0.5
+
+
+def test_labels_of_the_lowest_hashes(spark):
+    items = spark.range(5000).selectExpr("id AS item", "id % 2 = 0 AS toxic")
+    want = sorted(r.item for r in items.orderBy(F.xxhash64("item"), "item").limit(300).collect())
+    assert sorted(r.item for r in toxicity.lowest_hashes(Scratch(spark, "t"), items, 300).collect()) == want
+    assert toxicity.lowest_hashes(Scratch(spark, "t"), items, 5000).count() == 5000
+
+
+def test_scores_against_brute_force(spark, corpus, model):
+    """Every token decoded by trying all paths, then words counted one by one."""
+    docs, _ = corpus
+    texts = ["you st1pid m0ron", "river  stone\nbread", "", "an 1diot, an idi*t!", "st.one bre-ad", "moron " * 9 + "table"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
+
+    def restored(token):
+        core = token.lstrip(toxicity._STARTS).rstrip(toxicity._ENDS)
+        best, total = brute_viterbi(toxicity.lattice(core), model.lm) if core else (0.0, None)
+        paths = [("", 0.0)]
+        for options in toxicity.lattice(core):
+            paths = [(p + t, c + k) for p, c in paths for t, k in options]
+        return next((p.split() for p, c in paths if total(p, c) == best), []) if core else []
+
+    for i, text in enumerate(texts):
+        hits = 0
+        for token in text.split():
+            for w in restored(token):
+                starts = {w[:n] + "-" for n in range(3, 8) if len(w) >= n}
+                hits += bool(({w} | starts) & model.lexicon)
+        z = np.dot(model.weights, [np.log(1 + hits), np.log(1 + 1000 * hits / (len(text.split()) + 20)), 1.0])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)))
+    assert got[0] > 0.5 > got[1]
+
+
 # language model
 
 
