@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +46,39 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+#: Bytes of a batch between the JVM and a worker; with Spark's default a few rows of long texts or
+#: shingle sets fill 64 MB, several times over on its way.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on Arrow batches to BATCH_BYTES; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidy(run):
+    """run, a function over a worker's batches, that hands freed memory back when its task ends: workers
+    live on, and what earlier tasks have freed would count beside what later ones need."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; reading them never recomputes."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/sparloom-{name}-{uuid.uuid4().hex}"
         self.n = 0

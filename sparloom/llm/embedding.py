@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, columns_free_of, components, grouped_for_join
+from sparloom.llm.common import Scratch, columns_free_of, components, grouped_for_join, tidy
 
 CODE_BITS = 64
 #: Rows of a block in the window passes and in the exact count.
@@ -81,8 +81,8 @@ def _sorted_passes(scratch: Scratch, reps: DataFrame, passes: int, window: int,
             n += batch.num_rows
 
     fields = "pass int, dim int, code bigint, class bigint"
-    ordered = reps.select("class", "vec").mapInArrow(code, fields).sort("pass", "dim", "code", "class")
-    rows = scratch.save(ordered.mapInArrow(place, f"{fields}, part int, nth bigint").drop("code"))
+    ordered = reps.select("class", "vec").mapInArrow(tidy(code), fields).sort("pass", "dim", "code", "class")
+    rows = scratch.save(ordered.mapInArrow(tidy(place), f"{fields}, part int, nth bigint").drop("code"))
     # rows in front of a partition, from one count per partition
     counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparloom.llm.common import ASCII_SPACE, Scratch, columns_free_of, row_key
+from sparloom.llm.common import ASCII_SPACE, Scratch, columns_free_of, row_key, tidy
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = ASCII_SPACE.encode()
@@ -65,7 +65,7 @@ def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(firsts, pa.bool_()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], [*ROW, "place", "first", *KEY])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "row_hi bigint, row_lo bigint, place int, first boolean, key_hi bigint, key_lo bigint")
+    return _keyed(docs, id_col, text_col).mapInArrow(tidy(run), "row_hi bigint, row_lo bigint, place int, first boolean, key_hi bigint, key_lo bigint")
 
 
 class LineRuns:
@@ -174,4 +174,4 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*own, "n_lines", "n_dropped"])
 
     fields = StructType([*(StructField(o, f.dataType) for o, f in zip(own, docs.schema.fields, strict=True)), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    return joined.mapInArrow(run, fields).toDF(*docs.columns, "n_lines", "n_dropped")
+    return joined.mapInArrow(tidy(run), fields).toDF(*docs.columns, "n_lines", "n_dropped")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, columns_free_of
+from sparloom.llm.common import Scratch, columns_free_of, tidy
 
 END_ID = 1
 #: Words, and parts of words, whose ids a worker remembers; beyond it, it starts afresh.
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(ids_out, pa.binary())] if with_ids else [])], [*columns, *(["ids"] if with_ids else [])])
 
     slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
-    return slim.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    return slim.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(tidy(run), schema)
 
 
 def layout(counts: dict[int, int], capacity: int) -> tuple[list[tuple], list[tuple]]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, columns_free_of, components, grouped_for_join, row_key
+from sparloom.llm.common import Scratch, columns_free_of, components, grouped_for_join, row_key, tidy
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8"))], ["doc_id", "fp"])
 
     slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
-    return slim.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return slim.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(tidy(run), "doc_id bigint, fp bigint")
 
 
 def _masks(free_bits: list[int], max_bits: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
                 b.append(x[to[far]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (a, b)], ["a", "b"])
 
-    return lists.mapInArrow(run, "a bigint, b bigint").distinct()
+    return lists.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -219,7 +219,7 @@ def _rarity(spark: SparkSession, sets: DataFrame, n_texts: int) -> np.ndarray:
 
     every = max(1, n_texts // COUNTED)
     some = sets.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(every)) == 0).select("shingles")
-    table = some.mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n"))
+    table = some.mapInArrow(tidy(count), "counter bigint, n bigint").groupBy("counter").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n"))
     table = table.select(F.col("counter").cast("int").alias("counter"), "n").toArrow()  # a row per counter at most
     out = np.zeros(COUNTERS, np.uint16)
     out[table["counter"].to_numpy()] = table["n"].to_numpy()
@@ -242,7 +242,7 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: f
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(verify), "a bigint, b bigint")
 
 
 def _neighbours(spark: SparkSession, sets: DataFrame) -> DataFrame:
@@ -269,9 +269,9 @@ def _neighbours(spark: SparkSession, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = sets.select("node", "shingles").mapInArrow(post, "key bigint, node bigint").withColumn("turn", F.xxhash64("key", "node"))
+    postings = sets.select("node", "shingles").mapInArrow(tidy(post), "key bigint, node bigint").withColumn("turn", F.xxhash64("key", "node"))
     ordered = postings.repartitionByRange(n, "key", "turn").sortWithinPartitions("key", "turn").select("key", "node")
-    return ordered.mapInArrow(meet, "a bigint, b bigint").filter("a <> b").distinct()
+    return ordered.mapInArrow(tidy(meet), "a bigint, b bigint").filter("a <> b").distinct()
 
 
 def _candidates(scratch: Scratch, sets: DataFrame, roots: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
@@ -295,7 +295,7 @@ def _candidates(scratch: Scratch, sets: DataFrame, roots: DataFrame, rarity: np.
             for start in range(0, max(1, whole.num_rows), _CHUNK):
                 yield whole.slice(start, _CHUNK)
 
-    postings = sets.select("node", "shingles").mapInArrow(post, "key bigint, node bigint, place int, size int")
+    postings = sets.select("node", "shingles").mapInArrow(tidy(post), "key bigint, node bigint, place int, size int")
     postings = scratch.save(postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # lists inside one group, as most are, have nothing to find
     flipped = postings.groupBy(F.bitwise_not(F.col("key")).alias("_flipped")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
@@ -340,14 +340,14 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                 some = batch.slice(start, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(distinct_shingles(some.column(1)), pa.binary())], ["node", "shingles"])
 
-    rows = scratch.save(keyed.mapInArrow(digest, "row_hi bigint, row_lo bigint, doc_id bigint, digest binary"))
+    rows = scratch.save(keyed.mapInArrow(tidy(digest), "row_hi bigint, row_lo bigint, doc_id bigint, digest binary"))
     # nulls last: a known id is preferred
     who = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hi", "row_lo")
     classes = scratch.save(rows.groupBy("digest").agg(F.min(who).alias("first")).withColumn("node", F.xxhash64("digest")).drop("digest"))
     # of each class the text of its first row; rows of equal keys are equal
     firsts = classes.select("node", "first.row_hi", "first.row_lo")
     texts = keyed.select("row_hi", "row_lo", "text").dropDuplicates(["row_hi", "row_lo"]).join(firsts, ["row_hi", "row_lo"])
-    sets = scratch.save(texts.select("node", "text").mapInArrow(shingle_sets, "node bigint, shingles binary"))
+    sets = scratch.save(texts.select("node", "text").mapInArrow(tidy(shingle_sets), "node bigint, shingles binary"))
     folded = scratch.save(_verified(scratch, _neighbours(spark, sets), sets, similarity))
     roots = components(spark, folded)
     candidates = _candidates(scratch, sets, roots, _rarity(spark, sets, classes.count()), similarity)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, columns_free_of
+from sparloom.llm.common import Scratch, columns_free_of, tidy
 
 #: Symbols: 0 a boundary, 1 to 26 the letters, 27 any other letter.
 BOUNDARY, OTHER, N_SYMBOLS = 0, 27, 28
@@ -118,7 +118,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["trigram", "n"])
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "trigram int, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
+    return docs.select(docs[text_col].alias("text")).mapInArrow(tidy(run), "trigram int, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
 def smoothed(counts: np.ndarray, k: float = 5.0) -> list[float]:
@@ -351,7 +351,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
                     ns += found.values()
                 yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.bool_()), pa.array(names, pa.string()), pa.array(ns, pa.int64())], ["toxic", "feature", "n"])
 
-    by_text = sample.mapInArrow(count, "toxic boolean, feature string, n bigint")
+    by_text = sample.mapInArrow(tidy(count), "toxic boolean, feature string, n bigint")
     y = F.col("toxic")
     table = by_text.groupBy("feature").agg(F.sum(F.when(y, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(y, 0).otherwise(F.col("n"))).alias("b"), F.count_if(y).alias("da"), F.count_if(~y).alias("db"))
     n = {r["toxic"]: (r["texts"], r["tokens"]) for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size(F.split("text", r"\s+"))).alias("tokens")).collect()}
@@ -370,7 +370,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
             m = [hits(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in m], pa.int64()), pa.array([k for _, k in m], pa.int64())], ["toxic", "hits", "n"])
 
-    seen = sample.mapInArrow(measure, "toxic boolean, hits bigint, n bigint").toPandas()
+    seen = sample.mapInArrow(tidy(measure), "toxic boolean, hits bigint, n bigint").toPandas()
     x = np.array([measures(h, k) for h, k in zip(seen["hits"], seen["n"], strict=True)])
     *slopes, intercept = map(float, logistic(x[:, :2], seen["toxic"].to_numpy(float)))
     return Model(lm, (*slopes, min(intercept, math.log(0.5))), lexicon)
@@ -444,7 +444,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "restored"][: len(arrays)])
 
     slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
-    return slim.mapInArrow(run, "doc_id bigint, score double" + ", restored string" * with_text)
+    return slim.mapInArrow(tidy(run), "doc_id bigint, score double" + ", restored string" * with_text)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -456,4 +456,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
         for batch in batches:
             yield batch.filter(pa.array([one(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
