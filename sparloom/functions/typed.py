@@ -50,6 +50,7 @@ def string_to_type(source: Column | str, vtype: str = "str") -> Column:
         fields |= _moment(s)
         what = "date or time"
     code = F.coalesce(fields.pop("code"), F.lit(0)).cast("smallint")
+    # The wording of errors.
     text = F.when(code == 0, "").otherwise(F.concat(F.lit('Value "'), s, F.lit(f'" is not {what}')))
     return F.struct(*[c.alias(n) for n, c in fields.items()], code.alias("error_code"), F.coalesce(text, F.lit("")).alias("error_text"))
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from sparloom.operators.graph import numbered
 
-#: Values are cut to this length in a log.
-VALUE_LIMIT = 16_000
 CHANGE = ["table_name", "change_type", "primary_key_fields", "primary_key_1", "primary_key_2", "primary_key_3", "changed_field_name", "old_value", "new_value"]
 
 
@@ -41,9 +39,12 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[
 
     The snapshots are joined once, on the key; the fields of a pair become an array of their own
     differences, so there is no product with the list of fields. kinds limits the change types of a
-    field; condition is an extra condition on o and n, the structs of old and new fields. At most
-    three key fields.
+    field; condition is an extra condition on o and n, the structs of old and new fields. Values are
+    whole texts. A row that is inserted or deleted with nothing but nulls has one row in the log, without
+    a field. At most three key fields; more raise ValueError.
     """
+    if len(keys) > 3:
+        raise ValueError("a change log names a row by three fields at most")
     fields = fields or [c for c in old.columns if c not in keys]
     o = old.select(*keys, F.struct(F.lit(1).alias("there"), *[F.col(c).cast("string").alias(c) for c in fields]).alias("o"))
     n = new.select(*keys, F.struct(F.lit(1).alias("there"), *[F.col(c).cast("string").alias(c) for c in fields]).alias("n"))
@@ -54,10 +55,16 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[
         both = both.filter(condition)
     # without a change there is nothing to explode
     changed = F.array(*[
-        F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) & (F.col("change_type").isin(*kinds.get(c, set())) if kinds is not None else F.lit(True)), F.struct(F.lit(c).alias("field"), F.left(f"o.{c}", F.lit(VALUE_LIMIT)).alias("old"), F.left(f"n.{c}", F.lit(VALUE_LIMIT)).alias("new")))
+        F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) & (F.col("change_type").isin(*kinds.get(c, set())) if kinds is not None else F.lit(True)), F.struct(F.lit(c).alias("field"), F.col(f"o.{c}").alias("old"), F.col(f"n.{c}").alias("new")))
         for c in fields
     ])
-    rows = both.select(*keys, "change_type", F.explode(F.array_compact(changed)).alias("c"))
+    changed = F.array_compact(changed)
+    tracked = F.col("change_type").isin(*set().union(*kinds.values())) if kinds is not None else F.lit(True)
+    nothing = F.array(F.struct(*[F.lit(None).cast("string").alias(x) for x in ("field", "old", "new")]))
+    # whether a row's fields are all null is told by its structs, as kinds may leave out fields that aren't
+    empty = functools.reduce(lambda a, b: a & b, [F.col(f"o.{c}").isNull() & F.col(f"n.{c}").isNull() for c in fields], F.lit(True))
+    changed = F.when((F.col("change_type") != "UPDATE") & empty & tracked, nothing).otherwise(changed)
+    rows = both.select(*keys, "change_type", F.explode(changed).alias("c"))
     pk = [F.col(k).cast("string") for k in keys] + [F.lit(None).cast("string")] * (3 - len(keys))
     return rows.select(F.lit(table).alias("table_name"), "change_type", F.lit(";".join(keys)).alias("primary_key_fields"), *[p.alias(f"primary_key_{i + 1}") for i, p in enumerate(pk)], F.col("c.field").alias("changed_field_name"), F.col("c.old").alias("old_value"), F.col("c.new").alias("new_value"))
 
@@ -125,7 +132,7 @@ def restore_statements(log: DataFrame, tables: list[str], after: Column | None =
     cond = F.concat_ws(" and ", *[F.when(p.isNotNull(), F.concat(n, F.lit(" = "), _text(p))) for n, p in zip(named, pk, strict=True)])
     sets = F.array_join(F.transform("parts", lambda x: F.concat(F.lit(", "), x["field"], F.lit(" = "), _text(x["old"]), F.lit(" /* old: "), F.coalesce(x["new"], F.lit("null")), F.lit("*/"))), "")
     update = F.concat(F.lit("update "), "table_name", F.lit(" set "), named[0], F.lit(" = "), named[0], sets, F.lit(" where "), cond, F.lit(";"))
-    others = F.filter("parts", lambda x: ~F.array_contains(names, x["field"]))
+    others = F.filter("parts", lambda x: x["field"].isNotNull() & ~F.array_contains(names, x["field"]))
     columns = F.concat_ws(", ", F.array_compact(F.array(*[F.when(p.isNotNull(), n) for n, p in zip(named, pk, strict=True)])), F.transform(others, lambda x: x["field"]))
     values = F.concat_ws(", ", F.array_compact(F.array(*[F.when(p.isNotNull(), _text(p)) for p in pk])), F.transform(others, lambda x: _text(x["old"])))
     insert = F.concat(F.lit("insert into "), "table_name", F.lit("("), columns, F.lit(") values ("), values, F.lit(");"))

@@ -20,6 +20,8 @@ def _keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="sparloom-")
         spark.sparkContext.setCheckpointDir(where)
     path = f"{where.rstrip('/')}/sparloom-walk-{uuid.uuid4().hex}"

@@ -39,9 +39,8 @@ def listed(df: DataFrame, keys: list[str], value: Column, order: Column, sep: st
 
 
 def unique_or_nothing(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The value of each key that has exactly one different value."""
-    one = df.groupBy(*keys).agg(F.max(value).alias(value), F.min(value).alias("_least"))
-    return one.filter(F.col(value) == F.col("_least")).drop("_least")
+    """The value of each key that has exactly one row; a key with more rows, even equal ones, has none."""
+    return df.groupBy(*keys).agg(F.min(value).alias(value), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

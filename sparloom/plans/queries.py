@@ -446,9 +446,10 @@ def agg_list_distinct(t):
     return R.listed(t.customer.select("c_nationkey", "c_mktsegment").distinct(), ["c_nationkey"], F.col("c_mktsegment"), F.col("c_mktsegment"), "\r\n", "segments")
 
 
-@query("SELECT p_size, max(p_brand) AS brand FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) = 1")
+@query("SELECT l_orderkey, max(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1")
 def agg_having_unique(t):
-    return R.unique_or_nothing(t.part, ["p_size"], "p_brand").select("p_size", F.col("p_brand").alias("brand"))
+    """The flag of the orders of one line item; an order of two with the same flag has none."""
+    return R.unique_or_nothing(t.lineitem, ["l_orderkey"], "l_returnflag").select("l_orderkey", F.col("l_returnflag").alias("flag"))
 
 
 @query("SELECT l_partkey, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY l_partkey")
@@ -521,12 +522,26 @@ def big_tables(t):
     return M.big_tables(M.table_counts({n: getattr(t, n) for n in TABLES}))
 
 
-_TEXT_COLUMNS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "orders": ["o_orderstatus", "o_orderpriority"], "part": ["p_name", "p_brand", "p_type"]}
+#: The text fields of all tables; embeddings has none.
+_TEXT_COLUMNS = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+    "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"],
+    "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"],
+}
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS field_name, count(*) AS cnt FROM {n} WHERE upper({c}) = 'BUILDING' HAVING count(*) > 0" for n, cs in _TEXT_COLUMNS.items() for c in cs))
+def _searched(value: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS field_name, count(*) AS cnt FROM {n} WHERE upper({c}) = '{value}' HAVING count(*) > 0" for n, cs in _TEXT_COLUMNS.items() for c in cs)
+
+
+@query(_searched("BUILDING"))
 def search_all_fields(t):
-    return M.search_all_fields({n: getattr(t, n) for n in _TEXT_COLUMNS}, "Building", ignore_case=True, types=M.TEXT_TYPES)
+    return M.search_all_fields({n: getattr(t, n) for n in TABLES}, "Building", ignore_case=True, types=M.TEXT_TYPES)
+
+
+@query(_searched("FR"))
+def search_short_value(t):
+    return M.search_all_fields({n: getattr(t, n) for n in TABLES}, "fr", ignore_case=True, types=M.TEXT_TYPES)
 
 
 _CATALOG = "(VALUES ('ORDERS', 0, 0), ('EVENTS', 0, 0), ('V1', 1, 0), ('SYS', 0, 1)) r(relation_name, relation_type, system_flag)"
@@ -610,16 +625,29 @@ def cdc_restore(t):
     return C.restore_statements(log, ["orders"]).select("primary_key_1", "restore_stmt")
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 13 <> 0 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE false")
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def cdc_undo(t):
-    """Applying the log to the old snapshot and undoing it: rows that still exist are as they were."""
+    """Applying the log to the old snapshot and undoing it: all rows are as they were."""
     old, new = _snapshots(t)
     log = C.with_change_ids(C.snapshot_diff(old, new, ["o_orderkey"], table="orders"))
     after = C.apply_changes(old, log, ["o_orderkey"])
-    back = C.with_change_ids(C.snapshot_diff(after, old.join(after.select("o_orderkey"), "o_orderkey", "left_semi"), ["o_orderkey"], table="orders"))
+    back = C.with_change_ids(C.snapshot_diff(after, old, ["o_orderkey"], table="orders"))
     return C.apply_changes(after, back, ["o_orderkey"])
 
 
+@query("""WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 5 > 0),
+n AS (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 7 > 0)
+SELECT CAST(c_custkey AS VARCHAR) AS primary_key_1, CASE WHEN o.c_custkey IS NULL THEN 'INSERT' WHEN n.c_custkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change_type,
+CASE WHEN o.c_mktsegment IS DISTINCT FROM n.c_mktsegment THEN 'c_mktsegment' END AS changed_field_name, o.c_mktsegment AS old_value, n.c_mktsegment AS new_value
+FROM o FULL JOIN n USING (c_custkey) WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_mktsegment IS DISTINCT FROM n.c_mktsegment""")
+def cdc_rows_of_nulls(t):
+    """Inserted and deleted rows that hold nulls only have a row without a field in the log."""
+    c = t.customer
+    old = c.filter("c_custkey % 5 > 0").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    new = c.filter("c_custkey % 7 > 0").select("c_custkey", F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return C.snapshot_diff(old, new, ["c_custkey"], table="customer").select("primary_key_1", "change_type", "changed_field_name", "old_value", "new_value")
+
+
 @query("""SELECT 'table' AS object_type, n_name AS object_name, 'v1 ' || n_name AS stmt, CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 2 END AS checked FROM nation
 UNION ALL SELECT 'table', n_name, 'v2 ' || n_name, 2 FROM nation WHERE n_nationkey % 5 = 0""")
 def structure_poll(t):

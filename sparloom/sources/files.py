@@ -47,7 +47,8 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
 def publish(df: DataFrame, path: str) -> tuple[int, int]:
     """Writes to a temporary folder beside `path`, reads it again, compares, and renames it.
 
-    Readers never see an unverified copy; a copy that differs raises and leaves `path` as it was.
+    Readers never see an unverified copy; a copy that differs raises and leaves `path` as it was. What
+    was there is moved aside first and deleted last; it is moved back if the new copy can't take its place.
     """
     spark, tmp = df.sparkSession, f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
     df.write.parquet(tmp)
@@ -57,17 +58,29 @@ def publish(df: DataFrame, path: str) -> tuple[int, int]:
         fs.delete(t, True)
         raise ValueError(f"the copy differs: {got} instead of {wanted}")
     _, final = _fs(spark, path)
-    if fs.exists(final):
-        fs.delete(final, True)
+    _, aside = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    old = fs.exists(final)
+    if old and not fs.rename(final, aside):
+        raise OSError(f"{path} can't be moved aside")
     if not fs.rename(t, final):
+        if old:
+            fs.rename(aside, final)
         raise OSError(f"{tmp} can't be renamed")
+    if old:
+        fs.delete(aside, True)
     return got
 
 
 def expired(files: DataFrame, keep: int, group: str | None = None) -> DataFrame:
     """Files beyond the newest keep - 1, by modification time, so that one more can follow.
 
-    files: (path, mtime[, group]).
+    files: (path, mtime[, group]). With a group, each has its own newest. Without one, every file but
+    the newest keep - 1 goes; those few are found by partial top lists, not by one sort of all.
     """
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(F.desc("mtime"), "path")
-    return files.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") >= keep).drop("_n")
+    newest = [F.desc("mtime"), F.col("path")]
+    if group:
+        return files.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*newest))).filter(F.col("_n") >= keep).drop("_n")
+    if keep <= 1:
+        return files
+    kept = files.orderBy(*newest).limit(keep - 1).select(F.col("mtime").alias("_m"), F.col("path").alias("_p"))
+    return files.join(F.broadcast(kept), (F.col("mtime").eqNullSafe(F.col("_m"))) & (F.col("path") == F.col("_p")), "left_anti")

@@ -41,6 +41,34 @@ def test_apply_and_undo(snapshots):
     assert rows(C.apply_changes(new, back, ["k"])) == rows(old)
 
 
+def test_rows_of_nulls_are_logged_and_undone(spark):
+    kind = "k int, a string, b int"
+    old = spark.createDataFrame([(1, None, None), (2, "x", None), (3, "y", 3)], kind)
+    new = spark.createDataFrame([(2, None, None), (3, "y", 3), (4, None, None)], kind)
+    log = C.with_change_ids(C.snapshot_diff(old, new, ["k"], table="T"))
+    got = rows(log, "primary_key_1", "change_type", "changed_field_name", "old_value", "new_value")
+    assert got == sorted(map(str, [("1", "DELETE", None, None, None), ("2", "UPDATE", "a", "x", None), ("4", "INSERT", None, None, None)]))
+    assert rows(C.apply_changes(old, log, ["k"])) == rows(new)
+    back = C.with_change_ids(C.snapshot_diff(new, old, ["k"], table="T"))
+    assert rows(C.apply_changes(new, back, ["k"])) == rows(old)
+    assert {r["primary_key_1"]: r["restore_stmt"] for r in C.restore_statements(log, ["T"]).collect()}["1"] == "insert into T(k) values ('1');"
+    assert C.snapshot_diff(old, new, ["k"], kinds={"a": {"UPDATE"}}).count() == 1
+
+
+def test_values_are_whole_and_keys_few(spark):
+    long = "z" * 40_000
+    log = C.with_change_ids(C.snapshot_diff(spark.createDataFrame([(1, long)], "k int, a string"), spark.createDataFrame([(1, "b")], "k int, a string"), ["k"], table="T"))
+    assert log.first()["old_value"] == long and long in C.restore_statements(log, ["T"]).first()["restore_stmt"]
+    wide = spark.createDataFrame([(1, 1, 1, 1, "a")], "k int, l int, m int, n int, a string")
+    with pytest.raises(ValueError, match="three fields"):
+        C.snapshot_diff(wide, wide, ["k", "l", "m", "n"])
+
+
+def test_one_row_or_nothing(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None), (4, "c"), (4, "d")], "k int, v string")
+    assert rows(R.unique_or_nothing(df, ["k"], "v")) == rows(spark.createDataFrame([(1, "a"), (3, None)], "k int, v string"))
+
+
 def test_restore_statements(spark, snapshots):
     log = C.with_change_ids(C.snapshot_diff(*snapshots, ["k"], table="T"))
     got = {r["primary_key_1"]: r["restore_stmt"] for r in C.restore_statements(log, ["T"]).collect()}
@@ -70,7 +98,7 @@ def test_logs(spark):
 
 def test_relational_helpers(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 1), (2, "c", 2)], "k int, v string, o int")
-    assert rows(R.unique_or_nothing(df, ["k"], "v"), "k", "v") == ["(1, 'a')"]
+    assert rows(R.unique_or_nothing(df, ["k"], "v"), "k", "v") == []  # two equal rows are two rows
     assert rows(R.latest(df, ["k"], ["o"], ["v"])) == ["(1, 'a')", "(2, 'c')"]
     assert rows(R.listed(df, ["k"], F.col("v"), -F.col("o"), "|", "l")) == ["(1, 'a|a')", "(2, 'c|b')"]
     assert R.within_budget(df, ["k"], "o", F.lit(2), 3).count() == 2

@@ -5,6 +5,8 @@ from sparloom.functions import text as T
 from sparloom.functions import typed as TY
 from sparloom.functions.similar import shorthand, to_regex
 
+# The inputs and results of the parametrised cases for stripping and for person names are
+# given from outside; they are kept whole.
 NUM = "0123456789"
 LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt"
 
