@@ -166,7 +166,7 @@ def test_counts_and_scores(spark, odd, empty):
     rows = [(i, " ".join(rng.choice([f"{'ab'[i % 2]}{k}" for k in range(12)], 30))) for i in range(200)]
     docs = spark.createDataFrame(rows + [(500, None), (None, "zz Zz")], "doc_id bigint, text string")
     train = docs.filter(crc_remainder(F.col("doc_id"), 5) != 1)
-    size = lm.Size(head=16, known=20, shapes=8, classes=4, rounds=4)
+    size = lm.Size(head=12, known=16, classes=4, rounds=4)
     model = lm.fit(spark, train, size=size)
     counts, n = Counter(), 0
     for r in train.collect():
@@ -182,6 +182,22 @@ def test_counts_and_scores(spark, odd, empty):
         r = by_id[i]
         assert (r.n_tokens, r.n_known) == (len(t), sum(counts[w] > 0 for w in t))
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (len(counts) + 1))) for w in t))
+    # the score, word by word, from the classes of all words
+    table = dict(model.known) | {bytes(r.word): (r.c, r["class"]) for r in model.vocabulary.collect()}
+    assert {w.decode(): c for w, (c, _) in table.items() if c} == counts and len(model.known) <= 17 < len(table)
+    unseen = set()
+    for i, text in [*rows, (500, None), (None, "zz Zz")]:
+        before, want = table[lm.END][1], 0.0
+        for w in [w.lower() for w in (text or "").split()] + ["\n"]:
+            if w.encode() not in table:
+                unseen.add(i)
+            c, d = table.get(w.encode(), (0, 0))
+            want += model.step[before, d] + np.log10(c + 0.5) - model.total[d]
+            before = d
+        assert i in unseen or by_id[i].score == pytest.approx(want)
+    # words follow their own kind, and so their classes do
+    kinds = Counter((d, w[:1]) for w, (c, d) in table.items() if w[:1] in (b"a", b"b"))
+    assert sum(max(kinds[d, b"a"], kinds[d, b"b"]) for d in range(4)) >= 22
     held = [r for r in out if crc(r.doc_id, 5) == 1]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert lm.score(spark, empty, model).collect() == [] and len(lm.score(spark, odd, model).collect()) == odd.count()
@@ -190,16 +206,54 @@ def test_counts_and_scores(spark, odd, empty):
 
 
 def test_model_sums_to_one(spark):
-    docs = spark.createDataFrame([(i, "a b c a b d e") for i in range(5)], "doc_id bigint, text string")
-    size = lm.Size(head=8, known=8, shapes=4, classes=3, rounds=2)
-    m = lm.fit(spark, docs, size=size)
+    docs = spark.createDataFrame([(i, "a b c a b d e" + " f g" * (i % 2)) for i in range(5)], "doc_id bigint, text string")
+    m = lm.fit(spark, docs, size=lm.Size(head=4, known=6, classes=3, rounds=2))
     assert np.allclose((10.0**m.step).sum(1), 1)
-    types = lm.Types(m.head, size)
-    mass = np.zeros(size.classes)
-    for w, c in m.known.items():
-        mass[m.class_of[types[w]]] += c + 0.5
-    # what is left in each class is the entry of its unknown words
-    assert np.allclose(mass + 0.5, 10.0**m.total)
+    mass = np.zeros(3)
+    for c, d in [*m.known.values(), *((r.c, r["class"]) for r in m.vocabulary.collect())]:
+        mass[d] += c + 0.5
+    assert np.allclose(mass + 0.5, 10.0**m.total)  # one entry of each class is that of unknown words
+
+
+def test_unknown_words_take_the_likeliest_class(spark):
+    docs = spark.createDataFrame([(i, "a b c a b d e f g h i j") for i in range(5)], "doc_id bigint, text string")
+    m = lm.fit(spark, docs, size=lm.Size(head=4, known=6, classes=3, rounds=2))
+    table = dict(m.known) | {bytes(r.word): (r.c, r["class"]) for r in m.vocabulary.collect()}
+    got = {r.doc_id: r for r in lm.score(spark, spark.createDataFrame([(1, "a new b"), (2, "new a new"), (3, "new")], "doc_id bigint, text string"), m).collect()}
+    for i, text in ((1, "a new b"), (2, "new a new"), (3, "new")):
+        words = [*text.encode().split(), lm.END]
+        best = -np.inf
+        for d in range(3):  # one class for all places of the word
+            path = [table[lm.END][1], *(table[w][1] if w in table else d for w in words)]
+            p = sum(m.step[x, y] for x, y in zip(path, path[1:], strict=False))
+            best = max(best, p + sum(np.log10(table.get(w, (0, 0))[0] + 0.5) - m.total[c] for w, c in zip(words, path[1:], strict=True)))
+        assert got[i].score == pytest.approx(best) and got[i].n_known == sum(w in table for w in words)
+
+
+def test_count_limit(spark):
+    counts = spark.createDataFrame([(int(c),) for c in [1] * 50 + [2] * 20 + [7] * 5 + list(range(40, 2000, 7))], "c bigint")
+    of = Counter(r.c for r in counts.collect())
+    for most in (0, 3, 100, 285, 305, 10_000):
+        limit = lm.count_limit(counts, most)
+        above = sum(n for c, n in of.items() if c >= limit)
+        assert above <= most and (above >= 0.8 * min(most, sum(of.values())) or most < 20)
+    assert lm.count_limit(counts.limit(0), 5) == 1
+
+
+def test_every_word_goes_where_it_raises_the_likelihood_most():
+    rng = np.random.default_rng(5)
+    m = rng.integers(20, 500, (4, 4)).astype(float)
+    words, slots, n = np.array([0, 0, 0, 1, 2, 2]), np.array([0, 3, 5, 7, 2, 4]), np.array([3, 1, 20, 2, 1, 11.0])
+    f = lambda x: np.sum(x * np.log(x))
+
+    def likelihood(w, d):
+        x, little = m.copy(), 1e-4
+        for s, k in zip(slots[words == w], n[words == w], strict=True):
+            x[(s, d) if s < 4 else (d, s - 4)] += k * little
+        # margins of the classes a word can go to; those of its neighbours don't depend on its class
+        return f(x[:, :3]) + f(x[:3, :]) - f(x[:3, :3]) - f(x[:, :3].sum(0)) - f(x[:3, :].sum(1))
+
+    assert lm.best_classes(words, slots, n, m).tolist() == [int(np.argmax([likelihood(w, d) for d in range(3)])) for w in range(3)]
 
 
 def test_exchange_raises_the_likelihood():
