@@ -46,6 +46,8 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+#: Rows up to which a table is broadcast, by a count of them; more are shuffled.
+FEW = 200_000
 #: Bytes of a batch between the JVM and a worker; with Spark's default a few rows of long texts or
 #: shingle sets fill 64 MB, several times over on its way.
 BATCH_BYTES = 4 << 20

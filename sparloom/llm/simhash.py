@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, columns_free_of, components, grouped_for_join, row_key, tidy
+from sparloom.llm.common import FEW, Scratch, columns_free_of, components, grouped_for_join, row_key, tidy
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -191,8 +191,6 @@ FOLDS = 8
 #: long lists are, not what is found.
 COUNTED, COUNTERS = 1 << 16, 1 << 22
 _SLACK = 1e-9
-#: Keys up to which a filter is broadcast; more are shuffled.
-FEW = 1_000_000
 
 
 def prefix_length(n: int, similarity: float) -> int:
