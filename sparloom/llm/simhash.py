@@ -15,6 +15,7 @@ unless the component has no other. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from itertools import combinations, repeat
 
@@ -185,8 +186,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 # Near copies by the similarity of their shingle sets
 
-#: Orders of the shingles whose lowest one is a key of the folding round.
+#: Orders of the shingles whose lowest one is a key of a folding round.
 FOLDS = 8
+#: Folding goes on as long as a round ties this share of the texts.
+FOLD_ON = 0.001
+#: Words of a set's parity map (see _parity).
+MAP_WORDS = 8
 #: Texts counted, about, and counters for the order of shingles from rare to common. They decide how
 #: long lists are, not what is found.
 COUNTED, COUNTERS = 1 << 16, 1 << 22
@@ -243,33 +248,65 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: f
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(verify), "a bigint, b bigint")
 
 
-def _neighbours(spark: SparkSession, sets: DataFrame) -> DataFrame:
-    """(a, b): texts that are next to each other in the list of a key, the lowest shingle of an order.
+def _parity(h: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each of 512 places. Maps differ in at most as many places as the
+    sets do in shingles, which tells most pairs of unlike sets apart without the sets."""
+    counts = np.bincount((h >> np.uint64(40) & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS)
+    return np.packbits(counts & 1).view("<i8")
+
+
+def _neighbours(spark: SparkSession, sets: DataFrame, fold: int) -> DataFrame:
+    """(a, b, root_a, root_b): texts of different roots that are next to each other in the list of a key,
+    the lowest shingle of an order; every fold has orders of its own. sets: node, root, shingles.
     A range sort by key and a random number splits long lists over tasks."""
+    orders = range(1 + fold * FOLDS, 1 + (fold + 1) * FOLDS)
 
     def post(batches):
         for batch in batches:
             keys, at = [], []
-            for i, s in enumerate(batch.column(1).to_pylist()):
+            for i, s in enumerate(batch.column(2).to_pylist()):
                 h = np.frombuffer(s, "<u8")
                 if len(h):
-                    keys += [int(mixed(h, k).min()) ^ k for k in range(1, FOLDS + 1)]
+                    keys += [int(mixed(h, k).min()) ^ k for k in orders]
                     at += [i] * FOLDS
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype="<u8").view("<i8")), batch.column(0).take(pa.array(at, pa.int64()))], ["key", "node"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype="<u8").view("<i8")), batch.column(0).take(at), batch.column(1).take(at)], ["key", "node", "root"])
 
     def meet(batches):
-        last_key, last_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            key, node = (np.concatenate([old, new.to_numpy()]) for old, new in zip((last_key, last_node), batch.columns, strict=True))
-            hit = np.nonzero(key[:-1] == key[1:])[0]
-            x, y = node[hit], node[hit + 1]
-            last_key, last_node = key[-1:], node[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            key, node, root = (np.concatenate([old, new.to_numpy()]) for old, new in zip(last, batch.columns, strict=True))
+            hit = np.nonzero((key[:-1] == key[1:]) & (root[:-1] != root[1:]))[0]
+            last = [key[-1:], node[-1:], root[-1:]]
+            turned = node[hit] > node[hit + 1]
+            x, y = hit + turned, hit + ~turned
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x], node[y], root[x], root[y])], ["a", "b", "root_a", "root_b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = sets.select("node", "shingles").mapInArrow(tidy(post), "key bigint, node bigint").withColumn("turn", F.xxhash64("key", "node"))
-    ordered = postings.repartitionByRange(n, "key", "turn").sortWithinPartitions("key", "turn").select("key", "node")
-    return ordered.mapInArrow(tidy(meet), "a bigint, b bigint").filter("a <> b").distinct()
+    postings = sets.select("node", "root", "shingles").mapInArrow(tidy(post), "key bigint, node bigint, root bigint").withColumn("turn", F.xxhash64("key", "node"))
+    ordered = postings.repartitionByRange(n, "key", "turn").sortWithinPartitions("key", "turn").select("key", "node", "root")
+    return ordered.mapInArrow(tidy(meet), "a bigint, b bigint, root_a bigint, root_b bigint").distinct()
+
+
+def _folded(spark: SparkSession, scratch: Scratch, sets: DataFrame, n_texts: int, similarity: float) -> DataFrame:
+    """(node, root): most of every crowd tied together, by rounds of neighbours under ever new keys.
+
+    The first round takes in all texts. Each further one takes in the texts, with all of their group, that
+    have met a text of another group without being similar, as members of crowds not yet whole do.
+    """
+    active, ties, roots = sets.withColumn("root", F.col("node")), [], None
+    for fold in range(1000):
+        met = scratch.save(_neighbours(spark, active, fold))
+        found = scratch.save(_verified(scratch, met.select("a", "b"), sets, similarity))
+        ties.append(found)
+        if found.count() <= FOLD_ON * n_texts and fold:
+            break
+        roots = components(spark, functools.reduce(DataFrame.unionByName, ties))
+        failed = met.join(found, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        again = failed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
+        members = scratch.save(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(again, "root", "left_semi"))
+        active = sets.join(members, "node")
+    return components(spark, functools.reduce(DataFrame.unionByName, ties))
 
 
 def _candidates(scratch: Scratch, sets: DataFrame, roots: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
@@ -299,12 +336,24 @@ def _candidates(scratch: Scratch, sets: DataFrame, roots: DataFrame, rarity: np.
     flipped = postings.groupBy(F.bitwise_not(F.col("key")).alias("_flipped")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
     wanted = scratch.save(_having(postings, scratch.save(flipped.select(F.bitwise_not(F.col("_flipped")).alias("key")))))
     scratch.drop(postings)
-    left, right = (wanted.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "place", "size")]) for x in "ab")
+    maps = [f"map_{i}" for i in range(MAP_WORDS)]
+
+    def parity(batches):
+        for batch in batches:
+            words = np.array([_parity(np.frombuffer(s, "<u8")) for s in batch.column(1).to_pylist()], "<i8").reshape(-1, MAP_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, i].copy()) for i in range(MAP_WORDS))], ["node", *maps])
+
+    contested = _having(sets, scratch.save(wanted.select("node").distinct())).select("node", "shingles")
+    mapped = contested.mapInArrow(tidy(parity), "node bigint, " + ", ".join(f"{m} bigint" for m in maps))
+    wanted = scratch.save(wanted.join(mapped, "node"))
+    left, right = (wanted.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "place", "size", *maps)]) for x in "ab")
     # what two sets share is at most what lies before, at and behind a common shingle
     most = F.least("place_a", "place_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     enough = most >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - _SLACK
     sized = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - _SLACK
-    met = left.hint("merge").join(right, (left.key == right.key) & (F.col("root_a") < F.col("root_b")) & enough & sized)
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps])
+    near = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) + _SLACK
+    met = left.hint("merge").join(right, (left.key == right.key) & (F.col("root_a") < F.col("root_b")) & enough & sized & near)
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -313,12 +362,12 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     the one that stays of its group. Groups are the components of links between texts whose sets of
     word shingles have a Jaccard similarity of at least `similarity`; the smallest id stays.
 
-    Texts with equal sets are one class. A folding round ties most of every crowd together: each class
-    is verified against its neighbours under FOLDS keys. The second round is complete: every class posts
-    the prefix of its set, from rare to common shingles, and two classes that reach the similarity share
-    a posting's key. Lists whose classes are all of one group are passed over, as links inside a group
-    add nothing; all pairs between groups in the others that can reach the similarity by size and place
-    are verified. Texts without words are copies of each other.
+    Texts with equal sets are one class. Folding rounds tie most of every crowd together: each class
+    is verified against its neighbours under FOLDS keys a round. What follows is complete: every class
+    posts the prefix of its set, from rare to common shingles, and two classes that reach the similarity
+    share a posting's key. Lists whose classes are all of one group are passed over, as links inside a
+    group add nothing; all pairs between groups in the others that can reach the similarity by size,
+    place and parity map are verified. Texts without words are copies of each other.
     """
     scratch = Scratch(spark, "similar")
     slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
@@ -346,9 +395,9 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     firsts = classes.select("node", "first.row_hi", "first.row_lo")
     texts = keyed.select("row_hi", "row_lo", "text").dropDuplicates(["row_hi", "row_lo"]).join(firsts, ["row_hi", "row_lo"])
     sets = scratch.save(texts.select("node", "text").mapInArrow(tidy(shingle_sets), "node bigint, shingles binary"))
-    folded = scratch.save(_verified(scratch, _neighbours(spark, sets), sets, similarity))
-    roots = components(spark, folded)
-    candidates = _candidates(scratch, sets, roots, _rarity(spark, sets, classes.count()), similarity)
+    n_texts = classes.count()
+    roots = _folded(spark, scratch, sets, n_texts, similarity)
+    candidates = _candidates(scratch, sets, roots, _rarity(spark, sets, n_texts), similarity)
     links = scratch.save(_verified(scratch, candidates, sets, similarity))
     scratch.drop(sets)
     # what the first round tied is a star around its root by now

@@ -25,15 +25,18 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.llm.common import Scratch, columns_free_of, tidy
 
+if TYPE_CHECKING:  # workers do without
+    import pandas as pd
+
 #: Symbols: 0 a boundary, 1 to 26 the letters, 27 any other letter.
 BOUNDARY, OTHER, N_SYMBOLS = 0, 27, 28
 # Letters that a sign may stand for.
