@@ -1,12 +1,16 @@
 """SimHash near-duplicates: byte-position inverted index with count filtering.
 
 Fingerprints that differ in at most d bits share at least B - d of their B positional bytes: the
-guaranteed minimum of matches. A posting list per single (position, byte) would hold N/256 entries
-and pairs would grow with N squared, so postings are keyed by that minimum number of positions at
-once: every pair that reaches the minimum meets under at least one key, and a list holds at most
-256^d different fingerprints however large the input. Inside a list the shared positional bytes of
-a pair are tallied, pairs that reach the minimum are kept, and their bits are compared. A list
-hands on a forest of links, not all pairs.
+guaranteed minimum of matches, here 6 of 8. The index posts every fingerprint under each set of three
+positions with the bytes there, so a pair at the minimum meets in 20 lists of 56 at least (a single byte
+would hold 1/256 of all fingerprints in a list, and pairs would grow with their square). In a list the
+positional bytes that a pair shares are tallied; pairs that reach the minimum are retained, and their
+bits are compared.
+
+The index is one sort by key, split over tasks wherever it falls. Lists of more than LIST fingerprints,
+and those that lie across the ends of a task, are posted again under all sets of six positions that
+contain theirs: such a list holds 256^2 different fingerprints at most, whatever the input, and is
+searched by flipping bits. A list hands on a forest of links, not all pairs.
 
 Rows: a null text counts as empty; a text without words has fingerprint zero; equal rows are
 separate rows with the same answer; a null doc_id is carried and never becomes a component's id
@@ -22,7 +26,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.llm.common import FEW, Scratch, columns_free_of, components, grouped_for_join, row_key, tidy
@@ -50,6 +54,8 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), dtype="<u8", count=len(s))
 
 
+#: Fingerprints of a list that are compared pair by pair; longer ones are posted again.
+LIST = 1024
 _EVERY_8TH = np.uint64(0x0101010101010101)
 
 
@@ -145,31 +151,116 @@ def local_links(fps: np.ndarray, max_bits: int = 2, n_bytes: int = 8) -> np.ndar
     return out
 
 
+def _posting_key(kept: tuple[int, ...], number: int) -> Column:
+    """The bytes of fp at some positions, below the number of that set of positions."""
+    parts = [F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF)), 8 * i) for i, p in enumerate(kept)]
+    return functools.reduce(lambda x, y: x.bitwiseOR(y), parts, F.lit(number << 48).cast("bigint"))
+
+
+def _linked_pairs(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs share enough positional bytes and differ in few enough bits."""
+    apart = x ^ y
+    shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    return (shared >= 8 - max_bits) & (np.bitwise_count(apart) <= max_bits)
+
+
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """(a, b): links between different fingerprints of the column fp that hold each cluster together."""
-    minimum = 8 - max_bits
-    keys = []
-    for i, kept in enumerate(combinations(range(8), minimum)):
-        mask = sum(0xFF << (8 * p) for p in kept)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(i).alias("positions"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
-    # dealt out by number, as a few small files would otherwise become a few long tasks
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = fps.select("fp").repartition(n, "fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key")).select("key.positions", "key.bytes", "fp")
-    lists = postings.groupBy("positions", "bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    spark = fps.sparkSession
+    scratch, parts = Scratch(spark, "postings"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    threes, wide = list(combinations(range(8), 3)), list(combinations(range(8), 8 - max_bits))
+    keys = F.explode(F.array(*[_posting_key(kept, i) for i, kept in enumerate(threes)]))
 
-    def run(batches):
+    def short_lists(batches):
+        """Links of whole lists in the sorted stream (a, b); of others, set of positions and fingerprint (a, None)."""
+
+        def out(a, b, at=None):
+            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if at is None else pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()) if at is None else pa.array(b, pa.int32())], ["a", "b", "positions"])
+
+        def again(key: int, x: np.ndarray):
+            return out([x], [np.full(len(x), key >> 48)], at=True)
+
+        open_key, held, first, passing = None, [], True, False  # passing: the open list is handed on as it comes
+        for batch in batches:
+            key, fp = (c.to_numpy() for c in batch.columns)
+            cuts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
+            if len(cuts) < 2:
+                continue
+            a, b = [], []
+            start = 0
+            if key[0] == open_key:
+                held.append(fp[: cuts[1]])
+                start = 1
+            if start < len(cuts) - 1 and open_key is not None:  # the open list is whole
+                own = np.concatenate(held)
+                if first or passing or len(own) > LIST:
+                    yield again(open_key, own)
+                elif len(own) > 1:
+                    far = local_links(own.view(np.uint64), max_bits)
+                    at = np.nonzero(far != np.arange(len(own)))[0]
+                    a.append(own[at])
+                    b.append(own[far[at]])
+                first, passing, held, open_key = False, False, [], None
+            if start < len(cuts) - 1:
+                lo, hi = cuts[start:-2], cuts[start + 1 : -1]  # whole lists inside the batch, unless it is the task's first
+                size = hi - lo
+                if open_key is None and first and len(lo):
+                    yield again(int(key[lo[0]]), fp[lo[0] : hi[0]])
+                    lo, hi, size, first = lo[1:], hi[1:], size[1:], False
+                two = lo[size == 2]
+                ok = _linked_pairs(fp[two].view(np.uint64), fp[two + 1].view(np.uint64), max_bits)
+                a.append(np.maximum(fp[two], fp[two + 1])[ok])
+                b.append(np.minimum(fp[two], fp[two + 1])[ok])
+                for x, y in zip(lo[size > 2].tolist(), hi[size > 2].tolist(), strict=True):
+                    own = fp[x:y]
+                    if len(own) > LIST:
+                        yield again(int(key[x]), own)
+                        continue
+                    far = local_links(own.view(np.uint64), max_bits)
+                    at = np.nonzero(far != np.arange(len(own)))[0]
+                    a.append(own[at])
+                    b.append(own[far[at]])
+                open_key, held = int(key[-1]), [fp[cuts[-2] :]]
+            if sum(map(len, held)) > LIST:
+                yield again(open_key, np.concatenate(held))
+                held, passing = [np.zeros(0, np.int64)], True
+            yield out(a, b)
+        if held:  # it may go on in the next task
+            yield again(open_key, np.concatenate(held))
+
+    postings = fps.select("fp").distinct().select(keys.alias("key"), "fp")
+    ordered = postings.repartitionByRange(parts, "key", F.xxhash64("fp")).sortWithinPartitions("key")
+    found = scratch.save(ordered.mapInArrow(tidy(short_lists), "a bigint, b bigint, positions int"))
+    longer = found.filter("positions is not null").select("positions", F.col("a").alias("fp")).distinct()
+
+    def six_bytes(batches):
+        for batch in batches:
+            at, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, own = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in np.unique(at):
+                x = fp[at == i]
+                for j, six in enumerate(wide):
+                    if set(threes[i]) <= set(six):
+                        keys.append(j << 48 | x.view(np.uint8).reshape(-1, 8)[:, list(six)].astype(np.int64) @ (1 << 8 * np.arange(len(six))))
+                        own.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(own))], ["key", "fp"])
+
+    six = longer.mapInArrow(tidy(six_bytes), "key bigint, fp bigint").distinct()
+    lists = six.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+
+    def long_lists(batches):
         for batch in batches:
             a, b = [], []
             for one in batch.column(0):
-                x = np.array(one.as_py(), dtype=np.int64)
+                x = one.values.to_numpy()
                 to = local_links(x.view(np.uint64), max_bits)
                 far = np.nonzero(to != np.arange(len(x)))[0]
                 a.append(x[far])
                 b.append(x[to[far]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (a, b)], ["a", "b"])
 
-    return lists.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+    return found.filter("positions is null").select("a", "b").unionByName(lists.mapInArrow(tidy(long_lists), "a bigint, b bigint")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:

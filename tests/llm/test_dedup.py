@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparloom.llm import exact, lines, simhash
 from sparloom.llm.common import UPPER, ascii_lower, components
@@ -23,6 +24,14 @@ def test_ascii_lower_of_every_character(spark):
     assert [r[0] for r in df.select(ascii_lower(df.t)).collect()] == [t.translate(LOWER) for t in texts]
 
 
+def test_texts_that_share_a_digest_stay_apart(spark):
+    rows = spark.createDataFrame([(1, "a", "d"), (2, "b", "d"), (3, "a", "d"), (4, "c", "e"), (5, "c", "e")], "doc_id bigint, norm string, digest string")
+    whole = rows.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    twice = whole.groupBy("digest").count().filter("count > 1").select("digest")
+    got = exact._met(rows, whole.drop("norm"), whole, twice)
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got.collect()) == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 5, 2), (5, 5, 2)]
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for i, t in rows:
@@ -145,6 +154,27 @@ def test_local_links_match_brute_force(m):
     assert part(want) == part(got)
 
 
+@pytest.mark.parametrize("most", [3, 1024])
+def test_links_by_tally_match_brute_force(spark, monkeypatch, most):
+    """Random fingerprints, chains, crowds, and fingerprints that share bytes without being near."""
+    rng = np.random.default_rng(most)
+    fps = [int(x) for x in rng.integers(0, 2**64, 300, dtype=np.uint64)]
+    for f in fps[:40]:
+        x = f
+        for _ in range(int(rng.integers(1, 5))):
+            for bit in rng.choice(64, int(rng.integers(1, 4)), replace=False):
+                x ^= 1 << int(bit)
+            fps.append(x)
+    fps += [fps[0] ^ (a | b << 9) for a in range(8) for b in range(8)]  # a crowd
+    fps += [fps[1] ^ (int(a) << 40) for a in rng.integers(0, 2**24, 60)]  # five bytes shared
+    fps = sorted(set(fps))
+    monkeypatch.setattr(simhash, "LIST", most)
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    pairs = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint").repartition(3)).collect()}
+    linked = lambda a, b: (a, b) in pairs or (b, a) in pairs
+    assert brute_components(signed, linked) == brute_components(signed, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
+
+
 def test_simhash_components(spark, odd, empty):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(300)]
