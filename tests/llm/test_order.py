@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparloom.llm import mixing, packing, sharding
+from sparloom.llm.common import Scratch
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -108,13 +109,33 @@ def brute_targets(sizes, weights, share, cap):
             return [Fraction(cap * s) for s in sizes]
 
 
-@given(st.lists(st.integers(1, 1000), min_size=1, max_size=9))
-def test_targets(sizes):
-    weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
-    got = mixing.targets(sizes, weights)
-    assert got == brute_targets(sizes, weights, Fraction(3, 2), 2)
-    assert sum(got) == Fraction(3, 2) * sum(sizes)
-    assert mixing.targets([0, 0], [3, 1]) == [0, 0]
+def test_targets(spark):
+    """Against targets worked out source by source, names in any order, one of them null."""
+    rng = np.random.default_rng(9)
+    for k in range(6):
+        sizes = [int(x) for x in rng.integers(0, 10 ** int(rng.integers(1, 5)), int(rng.integers(1, 12)))]
+        names = sorted({str(rng.integers(10**9)) + "é\U0001F600ￜ"[int(rng.integers(3))] for _ in sizes})
+        names = [*names[: len(sizes) - 1], None] if k % 2 else names[: len(sizes)]
+        sizes = sizes[: len(names)]
+        rows = spark.createDataFrame([(n, s) for n, s in zip(names, sizes, strict=True)] + [(names[0], 0)], "source string, size bigint").repartition(3)
+        got = {r.s: r for r in mixing.planned(Scratch(spark, "t"), rows, (3, 1, 2), Fraction(3, 2), 2).collect()}
+        want = brute_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], Fraction(3, 2), 2) if any(sizes) else [0] * len(sizes)
+        assert [got[i].name for i in range(len(names))] == names
+        assert [(got[i].source_size, got[i].target, got[i].words) for i in range(len(names))] == [(s, pytest.approx(float(t)), int(t)) for s, t in zip(sizes, want, strict=True)]
+
+
+def test_more_sources_than_the_tree_has_units(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (1 + i % 13)), f"s{i % 300}") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    monkeypatch.setattr(mixing, "CELLS", 64)
+    drawn = mixing.draw(spark, df, shards=8).collect()
+    taken, target, shards = Counter(), {}, Counter()
+    for r in drawn:
+        taken[rows[r.doc_id][2]] += sum(t.words for t in r.takes)
+        target[rows[r.doc_id][2]] = r.target
+        shards.update(t.shard for t in r.takes)
+    assert all(abs(taken[s] - target[s]) < 1 for s in target) and len(target) == 300
+    assert set(shards) == set(range(8)) and max(shards.values()) < 1.3 * min(shards.values())
 
 
 def test_splitting_tree():
