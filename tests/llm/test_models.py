@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -315,7 +316,7 @@ def test_mined_rules(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
     # only spam.biz with ads is unwanted
     labels = spark.createDataFrame([(i, i % 3 == 0 and i % 2 == 1) for i in range(200)] + [(5, None), (201, None)], "item bigint, unwanted boolean")
-    out = {r.page_id: r.verdict for r in urls.filter_urls(spark, pages, labels, RULES, min_support=0.02, min_confidence=0.9).collect()}
+    out = {r.page_id: r.verdict for r in urls.filter_urls(spark, pages, labels, RULES, min_support=0.02, min_pages=1, min_confidence=0.9).collect()}
     assert all((v == "block") == (i % 3 == 0 and i % 2 == 1) for i, v in out.items())
 
 
@@ -333,16 +334,54 @@ def test_rules_of_deep_segments_and_many_tokens(spark):
     bad[700] = True
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
     labels = spark.createDataFrame([(i, b) for i, b in bad.items() if i < 300 or 320 <= i < 600], "item bigint, unwanted boolean")
-    out = {r.page_id: r.verdict for r in urls.filter_urls(spark, pages, labels, [], min_support=0.002, min_confidence=0.9).collect()}
+    out = {r.page_id: r.verdict for r in urls.filter_urls(spark, pages, labels, [], min_support=0.002, min_pages=1, min_confidence=0.9).collect()}
     assert {i for i, v in out.items() if v == "block"} == {i for i, b in bad.items() if b}
 
 
 def test_matching_is_that_of_subsets(spark):
     rules = [("a", "b"), ("c",), ("a", "d", "e")]
-    sets = [["a", "b"], ["a"], ["c", "x"], ["a", "d"], ["e", "d", "a"], [], ["b", "d"]]
-    df = spark.createDataFrame([(s,) for s in sets], "t array<string>")
-    want = [any(set(r) <= set(s) for r in rules) for s in sets]
-    assert [r[0] for r in df.select(urls.matches(F.col("t"), rules)).collect()] == want
+    sets = [["a", "b"], ["a"], ["c", "x"], ["a", "d"], ["e", "d", "a"], [], ["b", "d"], ["a", "alias"], ["alias"]]
+    index = Scratch(spark, "t").save(spark.createDataFrame([(t, i, t, len(r)) for i, r in enumerate(rules) for t in r] + [("alias", 0, "b", 2)], "token string, rule bigint, item string, items int"))
+    df = spark.createDataFrame(list(enumerate(sets)), "key bigint, tokens array<string>")
+    want = {i for i, s in enumerate(sets) if any(set(r) <= {"b" if x == "alias" else x for x in s} for r in rules)}
+    assert {r.key for r in urls.fired(df, index).collect()} == want
+
+
+def test_rules_against_brute_force(spark):
+    """All token sets up to four tokens, tried one by one."""
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for i in range(400):
+        keys = [k for k in "abcde" if rng.random() < 0.5]
+        host = ["one.com", "two.com", "x.one.com"][int(rng.integers(3))]
+        bad = rng.random() < (0.95 if "a" in keys and "b" in keys else 0.9 if host == "two.com" and "c" in keys else 0.15)
+        rows.append((i, f"http://{host}/p{int(rng.integers(4))}?" + "&".join(keys)))
+        labels.append((i, bool(bad)))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    half = spark.createDataFrame(labels[:300], "item bigint, unwanted boolean")
+    url = F.col("url")
+    sets = {r.page_id: frozenset(r.t) for r in pages.select("page_id", urls.tokens_of(url, urls.host_of(url), urls.path_of(url)).alias("t")).collect()}
+    tokens = sorted(set().union(*sets.values()))
+    rules = []
+    for size in (1, 2, 3, 4):
+        for some in map(frozenset, combinations(tokens, size)):
+            on = [b for i, b in labels[:300] if some <= sets[i]]
+            if sum(on) >= 20 and sum(on) >= 0.8 * len(on):
+                rules.append(some)
+    want = {i for i in sets if any(r <= sets[i] for r in rules)}
+    got = {r.page_id for r in urls.filter_urls(spark, pages, half, []).collect() if r.verdict == "block"}
+    assert rules and got == want
+
+
+def test_few_labelled_pages_teach_nothing_and_long_baskets_end(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/{'ads' if i < 19 else 'x'}") for i in range(60)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i < 19) for i in range(60)], "item bigint, unwanted boolean")
+    assert {r.verdict for r in urls.filter_urls(spark, pages, labels, []).collect()} == {"allow"}
+    # forty query keys on every page, none of them telling
+    rng = np.random.default_rng(2)
+    rows = [(i, "http://a.com/?" + "&".join(f"k{j}" for j in range(40) if rng.random() < 0.9) + ("&bad" if i % 5 == 0 else "")) for i in range(400)]
+    out = urls.filter_urls(spark, spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame([(i, i % 5 == 0) for i in range(400)], "item bigint, unwanted boolean"), [])
+    assert {r.page_id for r in out.collect() if r.verdict == "block"} == {i for i in range(400) if i % 5 == 0}
 
 
 # embeddings
