@@ -41,8 +41,10 @@ CODE_BITS = 52
 SKETCH = 256
 #: Window of the passes that carry vectors.
 FIRST_WINDOW, FIRST_PASSES = 32, 2
-#: Rows of a block in the exact count, for components up to BIG members and for larger ones.
-COUNT_BLOCK, BIG, BIG_BLOCK = 1024, 1 << 16, 8192
+#: Rows of a block in the exact count, by the members of its component: small ones are dealt out
+#: finely, large ones in few copies.
+COUNT_BLOCK = 1024
+BLOCKS = ((1 << 16, 8192), (4096, COUNT_BLOCK), (0, 128))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -316,10 +318,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
 def _count_links(named: DataFrame, crowds: DataFrame, threshold: float) -> DataFrame:
     """(class, others): rows of other classes of the same component at the threshold or above.
 
-    A component's classes are dealt into blocks of about COUNT_BLOCK rows; a task compares two blocks.
+    A component's classes are dealt into blocks of rows; a group compares two blocks.
     Classes alone in their component are left out.
     """
-    rows = F.when(F.col("members") > BIG, BIG_BLOCK).otherwise(COUNT_BLOCK)
+    rows = F.coalesce(*[F.when(F.col("members") > members, size) for members, size in BLOCKS])
     crowd = named.join(crowds, "root").withColumn("blocks", F.ceil(F.col("members") / rows).cast("int"))
     crowd = crowd.withColumn("own", F.expr("cast(pmod(xxhash64(7, class), blocks) as int)"))
     both = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
