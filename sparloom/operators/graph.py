@@ -164,18 +164,24 @@ def get_order(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> D
     names = nodes.select("name").distinct()
     edges = edges.select("name", "required").distinct().join(names, "name", "left_semi").join(names.withColumnRenamed("name", "required"), "required", "left_semi").select("name", "required")
     edges = _keep(edges)
-    listed = edges.filter("name <> required").groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("required")), ",").alias("required"), F.count(F.lit(1)).alias("required_count"))
-    left, open_ = _keep(names), _keep(edges.filter("name <> required"))
+    open_ = edges.filter("name <> required")
+    listed = open_.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("required")), ",").alias("required"), F.count(F.lit(1)).alias("required_count"))
+    # each round places the names that wait for nothing more and takes them off what others wait for
+    state = _keep(names.join(listed.select("name", F.col("required_count").alias("waits")), "name", "left").select("name", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("round")))
     rounds = []
     for i in range(max_rounds):
-        ready = _keep(left.join(open_.select("name").distinct(), "name", "left_anti").withColumn("round", F.lit(i)))
-        if ready.isEmpty():
+        ready = state.filter("waits = 0").select(F.col("name").alias("required"))
+        met = open_.join(ready, "required", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("met"))
+        step = state.join(met, "name", "left").select("name", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), F.when(F.col("waits") == 0, i).alias("round"))
+        step = _keep(step)
+        placed = step.filter("round is not null")
+        state = step.filter("round is null").select("name", "waits", "round")
+        if placed.isEmpty():
             break
-        rounds.append(ready)
-        left = _keep(left.join(ready, "name", "left_anti"))
-        open_ = _keep(open_.join(ready.select(F.col("name").alias("required")), "required", "left_anti").select("name", "required"))
-    rest = left.withColumn("round", F.lit(len(rounds)))
+        rounds.append(placed.select("name", "round"))
+    rest = state.select("name", F.lit(len(rounds)).alias("round"))
     placed = _union([*rounds, rest])
+    open_ = _keep(open_.join(rest.select("name"), "name", "left_semi").join(rest.select(F.col("name").alias("required")), "required", "left_semi").select("name", "required"))
     loops = _in_cycles(open_).withColumn("through", F.lit(2))
     own = edges.filter("name = required").select("name", F.lit(1).alias("direct"))
     out = placed.join(listed, "name", "left").join(loops, "name", "left").join(own, "name", "left")
@@ -184,21 +190,43 @@ def get_order(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> D
 
 
 def _in_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Names on a cycle of the edges that topological order has left over: nodes that nothing left
-    depends on are peeled off, then a node is on a cycle if it reaches itself."""
-    for _ in range(max_rounds):
-        kept = _keep(edges.join(edges.select(F.col("required").alias("name")).distinct(), "name", "left_semi").select("name", "required"))
-        if kept.count() == edges.count():
-            break
-        edges = kept
-    reach = _keep(edges.select("name", "required"))
+    """Names on a cycle of (name, required), the edges that topological order has left over.
+
+    Strongly connected components by colouring: names without an edge in or out are peeled off; every
+    name takes the greatest name that leads to it as its colour; the names of a colour that lead back to
+    it are the component of that name, on a cycle if there are two or more. Components are taken out, and
+    what is left goes on. A round moves along edges once, so its rows never exceed the edges.
+    """
+    found, n = [], edges.count()
     for _ in range(max_rounds):
-        further = reach.alias("a").join(edges.alias("b"), F.col("a.required") == F.col("b.name")).select("a.name", "b.required")
-        more = _keep(reach.union(further).distinct())
-        if more.count() == reach.count():
+        while n:  # what has no edge in, or none out, is on no cycle
+            used = edges.select("name").distinct().intersect(edges.select(F.col("required").alias("name")).distinct())
+            kept = _keep(edges.join(used, "name", "left_semi").join(used.withColumnRenamed("name", "required"), "required", "left_semi").select("name", "required"))
+            before, n, edges = n, kept.count(), kept
+            if n == before:
+                break
+        if not n:
             break
-        reach = more
-    return reach.filter("name = required").select("name").distinct()
+        colour = _keep(edges.select("name").distinct().select("name", F.col("name").alias("colour")))
+        for _ in range(max_rounds):
+            along = edges.join(colour, "name").groupBy(F.col("required").alias("name")).agg(F.max("colour").alias("passed"))
+            step = _keep(colour.join(along, "name", "left").select("name", F.greatest("colour", "passed").alias("colour"), (F.col("passed") > F.col("colour")).alias("moved")))
+            colour = step.select("name", "colour")
+            if step.filter("moved").isEmpty():
+                break
+        inside = edges.join(colour, "name").join(colour.select(F.col("name").alias("required"), F.col("colour").alias("_c")), "required").filter("colour = _c").select("name", "required", "colour")
+        inside = _keep(inside)
+        reached = _keep(colour.filter("name = colour"))
+        members = [reached]
+        while not reached.isEmpty():  # backwards from the name that gave the colour
+            back = inside.join(reached.select(F.col("name").alias("required")), "required", "left_semi").select("name", "colour").distinct()
+            reached = _keep(back.join(_union(members), "name", "left_anti"))
+            members.append(reached)
+        component = _keep(_union(members))
+        found.append(component.join(component.groupBy("colour").count().filter("count > 1"), "colour", "left_semi").select("name"))
+        edges = _keep(edges.join(component, "name", "left_anti").join(component.select(F.col("name").alias("required")), "required", "left_anti").select("name", "required"))
+        n = edges.count()
+    return _union(found).distinct() if found else edges.select("name").limit(0)
 
 
 def drop_statements(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,21 @@ def test_order_with_a_cycle(spark):
     assert min(got[x][0] for x in "ABCDE") > got["G"][0]
 
 
+def test_cycles_against_brute_force(spark):
+    """Random graphs: a node is on a cycle if it reaches itself; order never breaks a requirement."""
+    rng = random.Random(3)
+    for n, m in ((8, 9), (14, 22)):
+        names = [f"n{i:02}" for i in range(n)]
+        pairs = {(rng.choice(names), rng.choice(names)) for _ in range(m)}
+        got = {r["name"]: r for r in G.get_order(spark.createDataFrame(sorted(pairs), "name string, required string"), spark.createDataFrame([(x,) for x in names], "name string")).collect()}
+        reach = {x: {b for a, b in pairs if a == x and b != x} for x in names}
+        for _ in names:
+            reach = {x: reach[x].union(*(reach[y] for y in reach[x])) for x in names}
+        assert {x: r["loop_type"] for x, r in got.items()} == {x: ((x, x) in pairs) + 2 * (x in reach[x]) for x in names}
+        ends = {x for x in names if x not in reach[x] and not any(y in reach[y] for y in reach[x])}
+        assert all(got[b]["order_index"] < got[a]["order_index"] for a, b in pairs if a in ends and a != b)
+
+
 def test_drop_statements(spark):
     e = spark.createDataFrame([("B", "A"), ("C", "B"), ("X", "Y")], "name string, required string")
     n = spark.createDataFrame([(x,) for x in "ABCXY"], "name string")
