@@ -229,7 +229,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         if held:  # it may go on in the next task
             yield again(open_key, np.concatenate(held))
 
-    postings = fps.select("fp").distinct().select(keys.alias("key"), "fp")
+    # dealt out by number, as a few small files would otherwise become a few long tasks
+    postings = fps.select("fp").repartition(parts, "fp").distinct().select(keys.alias("key"), "fp")
     ordered = postings.repartitionByRange(parts, "key", F.xxhash64("fp")).sortWithinPartitions("key")
     found = scratch.save(ordered.mapInArrow(tidy(short_lists), "a bigint, b bigint, positions int"))
     longer = found.filter("positions is not null").select("positions", F.col("a").alias("fp")).distinct()
