@@ -15,16 +15,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one is set where it is unset and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="sparloom-")
         spark.sparkContext.setCheckpointDir(where)
-    path = f"{where.rstrip('/')}/sparloom-walk-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sparloom-walk-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -655,3 +655,6 @@ def structure_poll(t):
     stored = n.select("object_type", "object_name", F.concat(F.lit("v1 "), "object_name").alias("stmt"), F.lit(1).alias("checked"))
     current = n.select("object_type", "object_name", F.concat(F.when(F.col("n_nationkey") % 5 == 0, "v2 ").otherwise("v1 "), F.col("object_name")).alias("stmt"))
     return C.structure_changes(stored, current, F.lit(2))
+
+
+from sparloom.plans import catalog_queries  # noqa: E402, F401  registers its queries
