@@ -295,6 +295,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
     first = scratch.save(_sorted_passes(scratch, lone, range(FIRST_PASSES), FIRST_WINDOW, threshold, seed, vectors=True))
     depths = {r["depth"]: r["n"] for r in first.filter("depth is not null").groupBy("depth").agg(F.sum("n").alias("n")).collect()}
     ties = scratch.save(ordered(first.filter("a is not null")))
+    scratch.drop(first)
     roots = components(spark, ties)
     reps = scratch.save(sizes.join(roots, sizes["class"] == roots.node, "left").select("class", F.coalesce("root", "class").alias("root"), "vec"))
     # windows of the later passes are wider, so rows need log2 of that fewer signs
@@ -303,6 +304,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
     second = _sorted_passes(scratch, reps, range(FIRST_PASSES, FIRST_PASSES + more), window, threshold, seed, vectors=False)
     candidates = scratch.save(ordered(second.filter("a is not null")))
     pairs = scratch.save(ties.unionByName(_verified(scratch, candidates, sizes, threshold)))
+    for done in (candidates, ties, reps):
+        scratch.drop(done)
     roots = components(spark, pairs)
     named = sizes.join(roots, sizes["class"] == roots.node, "left").select("class", "hi", "lo", "vec", "least", "n", F.coalesce("root", "class").alias("root"))
     named = scratch.save(named)

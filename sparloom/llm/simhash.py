@@ -322,9 +322,10 @@ def _rarity(spark: SparkSession, sets: DataFrame, n_texts: int) -> np.ndarray:
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
+    """The pairs (a, b) whose sets have the similarity, saved."""
     pairs = scratch.save(pairs)
-    sets = _having(sets, scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    nodes = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _having(sets, nodes)
 
     def verify(batches):
         for batch in batches:
@@ -337,7 +338,10 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: f
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(verify), "a bigint, b bigint")
+    found = scratch.save(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(verify), "a bigint, b bigint"))
+    scratch.drop(pairs)
+    scratch.drop(nodes)
+    return found
 
 
 def _parity(h: np.ndarray) -> np.ndarray:
@@ -386,17 +390,20 @@ def _folded(spark: SparkSession, scratch: Scratch, sets: DataFrame, n_texts: int
     The first round takes in all texts. Each further one takes in the texts, with all of their group, that
     have met a text of another group without being similar, as members of crowds not yet whole do.
     """
-    active, ties, roots = sets.withColumn("root", F.col("node")), [], None
+    active, ties, members = sets.withColumn("root", F.col("node")), [], None
     for fold in range(1000):
         met = scratch.save(_neighbours(spark, active, fold))
-        found = scratch.save(_verified(scratch, met.select("a", "b"), sets, similarity))
+        found = _verified(scratch, met.select("a", "b"), sets, similarity)
         ties.append(found)
+        if members:
+            scratch.drop(members)
         if found.count() <= FOLD_ON * n_texts and fold:
             break
         roots = components(spark, functools.reduce(DataFrame.unionByName, ties))
         failed = met.join(found, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
         again = failed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
         members = scratch.save(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(again, "root", "left_semi"))
+        scratch.drop(met)
         active = sets.join(members, "node")
     return components(spark, functools.reduce(DataFrame.unionByName, ties))
 
@@ -490,7 +497,7 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     n_texts = classes.count()
     roots = _folded(spark, scratch, sets, n_texts, similarity)
     candidates = _candidates(scratch, sets, roots, _rarity(spark, sets, n_texts), similarity)
-    links = scratch.save(_verified(scratch, candidates, sets, similarity))
+    links = _verified(scratch, candidates, sets, similarity)
     scratch.drop(sets)
     # what the first round tied is a star around its root by now
     roots = components(spark, links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
