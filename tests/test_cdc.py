@@ -127,3 +127,17 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(120)
     assert rows(spark.read.parquet(f"{log}/1"), "change_type", "old_value", "new_value") == ["('UPDATE', 'b', 'c')"]
     assert rows(spark.read.parquet(f"{state}/1")) == ["(1, 'a')", "(2, 'c')"]
+
+
+def test_stream_of_several_versions(spark, tmp_path):
+    """The highest order counts whatever the partitions, a batch run again gives the same, old states go."""
+    logs = {}
+    capture = ChangeCapture(str(tmp_path / "state"), ["k"], "T", lambda df, i: logs.setdefault(i, []).append(rows(df, "change_type", "changed_field_name", "new_value")), order="at", keep=2)
+    batch = lambda *r: spark.createDataFrame(r, "k int, v string, at int")
+    for parts in (1, 3):  # run again after a failure
+        capture(batch((1, "old", 1), (1, "new", 2), (2, "x", 5), (2, "w", 4)).repartition(parts), 0)
+    assert logs[0][0] == logs[0][1] and "('INSERT', 'v', 'new')" in logs[0][0] and "('INSERT', 'v', 'x')" in logs[0][0]
+    capture(batch((1, "z", 3)), 1)
+    capture(batch((2, "q", 9)), 2)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["1", "2"]
+    assert rows(spark.read.parquet(str(tmp_path / "state" / "2")), "k", "v") == ["(1, 'z')", "(2, 'q')"]
