@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,15 +137,36 @@ def sql_name(path_or_name: str) -> str:
     return re.sub(r"\W", "_", path_or_name)
 
 
+#: Edges whose components one task finds, in some 10 MB.
+IN_ONE_TASK = 200_000
+
+
+def _components_at_once(batches):
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(b.column(i).to_numpy() for b in some)]) for some in [list(batches)] for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+    far = np.nonzero(label != np.arange(len(nodes)))[0]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["node", "root"])
+
+
 def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """Connected components of bigint edges: (node, root), root the smallest node of the component.
 
-    Alternating large-star and small-star rounds. Each round is written to the shared folder. The
-    lookups of minima are joins whose two sides are both shuffled for the join, so that Spark can
-    split a hub that holds a third of the edges. Nodes without an edge have no row; loops are ignored.
+    Up to IN_ONE_TASK edges, by a count of them, one task finds them all. More take alternating
+    large-star and small-star rounds, each written to the shared folder. The lookups of minima are
+    joins whose two sides are both shuffled for the join, so that Spark can split a hub that holds a
+    third of the edges. Nodes without an edge have no row; loops are ignored.
     """
     scratch = Scratch(spark, "components")
     now = scratch.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    if now.count() <= IN_ONE_TASK:
+        return scratch.save(now.coalesce(1).mapInArrow(tidy(_components_at_once), "node bigint, root bigint"))
     mark = None
     for _ in range(max_rounds):
         # large star: every node hands its larger neighbours to the smallest node it knows

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparloom.llm import exact, lines, simhash
+from sparloom.llm import common, exact, lines, simhash
 from sparloom.llm.common import UPPER, ascii_lower, components
 
 LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -198,7 +198,9 @@ def test_simhash_components(spark, odd, empty):
     assert simhash.near_duplicates(spark, odd).count() == odd.count()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(common, "IN_ONE_TASK", at_once)
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + i, 2001 + i) for i in range(40)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
