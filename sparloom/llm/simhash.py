@@ -281,7 +281,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 #: Orders of the shingles whose lowest one is a key of a folding round.
 FOLDS = 8
 #: Folding goes on as long as a round ties this share of the texts.
-FOLD_ON = 0.001
+FOLD_ON = 0.01
 #: Words of a set's parity map (see _parity).
 MAP_WORDS = 8
 #: Texts counted, about, and counters for the order of shingles from rare to common. They decide how
