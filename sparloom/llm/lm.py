@@ -13,8 +13,8 @@ Word emissions are additive: (c + 0.5) / (N_class + 0.5 (V_class + 1)), with one
 class for unknown words. An unknown word of a text is taken to be of the class that makes the text
 likeliest where it stands. Class transitions are interpolated with
 class frequencies, the weight following the number of different successors (Witten-Bell). Both sum
-to 1. Transitions between two words outside the head are counted for each class and side, and shared
-out in proportion.
+to 1. Every transition of the training texts is counted: those beside head words with the bigrams and
+contexts, those between two words outside the head once all words have their classes.
 
 Word counts, contexts and class totals are Spark aggregates over all training rows. The driver holds
 the bigrams of the head (at most head squared), the classes' tables, and the `known` most frequent
@@ -320,6 +320,90 @@ def classed(spark: SparkSession, found: DataFrame, m: np.ndarray) -> DataFrame:
     return by_word.mapInArrow(tidy(run), "word binary, c bigint, class int, slot int")
 
 
+def tail_bigrams(docs: DataFrame, head: list[bytes], known: dict[bytes, tuple[int, int]], classes: int, text_col: str = "text") -> DataFrame:
+    """(word, next, slots, counts, at, n): the bigrams of two words outside the head, as three kinds of rows.
+
+    Only at and n: workers know both words, of classes c and d; at is c * classes + d. A word without a next
+    one: workers don't know it; slot s is how often a word of class s that they know is before it, slot
+    classes + s behind it, as in contexts(). A word and a next one: workers know neither; n is their number.
+    """
+    names = ["word", "next", "slots", "counts", "at", "n"]
+    kinds = [pa.binary()] * 4 + [pa.int32(), pa.int64()]
+    flush = FLUSH
+
+    def run(batches):
+        cls = Numbers({w: d for w, (_, d) in known.items()} | dict.fromkeys(head, classes))
+        sums = np.zeros(classes * classes, np.int64)
+        numbers: dict[bytes, int] = {}
+        pairs: Counter = Counter()
+        codes: list[int] = []
+
+        def rows(size: int, **columns):
+            whole = pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(size, kind) for x, kind in zip(names, kinds, strict=True)], names)
+            for start in range(0, size, flush // 8):
+                yield whole.slice(start, flush // 8)
+
+        def out():
+            u, n = np.unique(np.array(codes, np.int64), return_counts=True)
+            own, slot = np.divmod(u, 2 * classes)
+            first = np.nonzero(np.diff(own, prepend=-1))[0]  # numbers are given in order, so this is one run a word
+            ends = np.append(first, len(u)).astype(np.int32)
+            slots, counts = (pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (slot.astype(np.uint8), n.astype("<u4")))
+            yield from rows(len(first), word=pa.array(list(numbers), pa.binary()), slots=slots, counts=counts)
+            one, two = (pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))
+            yield from rows(len(pairs), word=one, next=two, n=pa.array(list(pairs.values()), pa.int64()))
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tokens = tokens_of(text)
+                t = np.fromiter(map(cls.__getitem__, tokens), np.int64, len(tokens))
+                a, b = t[:-1], t[1:]
+                tail = (a < classes) & (b < classes)
+                both = tail & (a >= 0) & (b >= 0)
+                sums += np.bincount(a[both] * classes + b[both], minlength=classes * classes)
+                at = np.nonzero(tail & ~both)[0]
+                for i, x, y in zip(at.tolist(), a[at].tolist(), b[at].tolist(), strict=True):
+                    if x >= 0:
+                        codes.append(numbers.setdefault(tokens[i + 1], len(numbers)) * 2 * classes + x)
+                    elif y >= 0:
+                        codes.append(numbers.setdefault(tokens[i], len(numbers)) * 2 * classes + classes + y)
+                    else:
+                        pairs[tokens[i], tokens[i + 1]] += 1
+                if len(codes) > flush or len(numbers) > flush // 2 or len(pairs) > flush // 2:
+                    yield from out()
+                    codes, numbers, pairs = [], {}, Counter()
+        yield from out()
+        at = np.nonzero(sums)[0]
+        yield from rows(len(at), at=pa.array(at.astype(np.int32)), n=pa.array(sums[at]))
+
+    return _texts(docs, text_col).mapInArrow(tidy(run), "word binary, next binary, slots binary, counts binary, at int, n bigint")
+
+
+def tail_transitions(scratch: Scratch, bigrams: DataFrame, vocabulary: DataFrame, classes: int) -> np.ndarray:
+    """How often words outside the head of class c are before such of class d, from tail_bigrams()."""
+
+    def add(batches):
+        sums = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            own = np.repeat(batch.column(0).to_numpy().astype(np.int64), np.asarray(pc.binary_length(batch.column(1))))
+            slot, n = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).astype(np.int64) for i, kind in ((1, np.uint8), (2, "<u4")))
+            np.add.at(sums, np.where(slot < classes, slot * classes + own, own * classes + slot - classes), n)
+        at = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["at", "n"])
+
+    bigrams, of = scratch.save(bigrams), vocabulary.select("word", "class")
+    beside = bigrams.filter("word is not null and next is null").select("word", "slots", "counts").join(of, "word")
+    two = bigrams.filter("next is not null").select("word", "next", "n").join(of, "word").groupBy("next", "class").agg(F.sum("n").alias("n"))
+    two = two.join(of.toDF("next", "after"), "next").select((F.col("class") * classes + F.col("after")).alias("at"), "n")
+    parts = bigrams.filter("word is null").select("at", "n"), beside.select("class", "slots", "counts").mapInArrow(tidy(add), "at int, n bigint"), two
+    m = np.zeros(classes * classes)
+    for part in parts:
+        for r in part.groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most classes squared rows
+            m[r["at"]] += r["n"]
+    scratch.drop(bigrams)
+    return m.reshape(classes, classes)
+
+
 @dataclass
 class Model:
     classes: int
@@ -368,7 +452,6 @@ def fit(spark: SparkSession, training: DataFrame, text_col: str = "text", size:
         other[r["class"], r["slot"]] = r["n"]
     before, after, m = other[:, : k + 1], other[:, k + 1 :], m[:k, :k].copy()
     m += before[:, :k].T + after[:, :k]
-    m += np.outer(after[:, k], before[:, k]) / max(1.0, before[:, k].sum())
     N, V = np.bincount(of, list(of_head.values()), k), np.bincount(of, [c > 0 for c in of_head.values()], k)
     for r in words.filter("word is not null").groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         N[r["class"]] += r["c"]
@@ -377,7 +460,9 @@ def fit(spark: SparkSession, training: DataFrame, text_col: str = "text", size:
     some = tail.filter(F.col("c") >= limit).toArrow()
     known = {w: (c, d) for w, c, d in zip(*(some[x].to_pylist() for x in ("word", "c", "class")), strict=True)}
     known |= {w: (c, int(d)) for (w, c), d in zip(of_head.items(), of, strict=True)}
-    return Model(k, known, tail.filter(F.col("c") < limit), transitions(m), np.log10(N + 0.5 * (V + 1)), int(n), int(v))
+    rare = tail.filter(F.col("c") < limit)
+    m += tail_transitions(scratch, tail_bigrams(training, head, known, k, text_col), rare, k)
+    return Model(k, known, rare, transitions(m), np.log10(N + 0.5 * (V + 1)), int(n), int(v))
 
 
 #: In a list of neighbours' classes: one that no worker knows.

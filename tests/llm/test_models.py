@@ -216,6 +216,22 @@ def test_model_sums_to_one(spark):
     assert np.allclose(mass + 0.5, 10.0**m.total)  # one entry of each class is that of unknown words
 
 
+@pytest.mark.parametrize("flush", [8, 1_000_000])
+def test_every_transition_is_counted(spark, monkeypatch, flush):
+    """Also those between two words outside the head, known to workers or not."""
+    monkeypatch.setattr(lm, "FLUSH", flush)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{'ab'[(i + j) % 2]}{int(rng.zipf(1.3)) % 40}" for j in range(30))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, None)], "doc_id bigint, text string")
+    m = lm.fit(spark, docs, size=lm.Size(head=5, known=12, classes=3, rounds=2))
+    table = dict(m.known) | {bytes(r.word): (r.c, r["class"]) for r in m.vocabulary.collect()}
+    want = np.zeros((3, 3))
+    for _, text in [*rows, (100, "")]:
+        path = [table[w][1] for w in [lm.END, *text.encode().split(), lm.END]]
+        np.add.at(want, (path[:-1], path[1:]), 1)
+    assert len(table) > 20 and np.allclose(m.step, lm.transitions(want))
+
+
 def test_unknown_words_take_the_likeliest_class(spark):
     docs = spark.createDataFrame([(i, "a b c a b d e f g h i j") for i in range(5)], "doc_id bigint, text string")
     m = lm.fit(spark, docs, size=lm.Size(head=4, known=6, classes=3, rounds=2))
