@@ -143,28 +143,15 @@ def abbreviate(text: Column | str, parts_limit: int | None = None, skip_lower: b
     Latin, lower and upper Cyrillic, digit, point, other); after parts_limit parts nothing follows.
     """
     trimmed = F.btrim(col(text))
-    lower, upper = ("[a-z]", "[а-яё]"), ("[A-Z]", "[А-ЯЁ]")
-    kinds = [(lower[0], 0), (upper[0], 1), (lower[1], 2), (upper[1], 3), ("[0-9]", 4), ("[.,]", 5)]
-
-    def kind(c: Column) -> Column:
-        out = F.lit(6)
-        for pattern, k in reversed(kinds):
-            out = F.when(F.regexp_like(c, F.lit(pattern)), k).otherwise(out)
-        return out
-
-    def step(acc: Column, c: Column) -> Column:
-        k, before = kind(c), acc["kind"]
-        starts = F.lit(False) if skip_lower else ((k == 0) & ~before.isin(0, 1, 4)) | ((k == 2) & ~before.isin(2, 3, 4))
-        point = (k == 5) & before.isin(4, 6)
-        taken = (starts | point | k.isin(1, 3, 4)) if parts_limit is None else ((starts | point | k.isin(1, 3, 4)) & (acc["parts"] < parts_limit))
-        return F.struct(
-            F.when(taken, F.concat(acc["abbr"], c)).otherwise(acc["abbr"]).alias("abbr"),
-            k.alias("kind"),
-            F.when(taken & (k != before), acc["parts"] + 1).otherwise(acc["parts"]).alias("parts"),
-        )
-
-    zero = F.struct(F.lit("").alias("abbr"), F.lit(6).alias("kind"), F.lit(0).alias("parts"))
-    return F.aggregate(F.split(trimmed, ""), zero, step, lambda acc: acc["abbr"])
+    letters, points = "a-zA-Zа-яёА-ЯЁ", "(?<![a-zA-Zа-яёА-ЯЁ.,])[.,]"
+    if parts_limit is not None:
+        # up to the character that begins the last part; atomic, so that no part's begin is passed over
+        begins = [f"(?<![{k}])[{k}]" for k in ("A-Z", "А-ЯЁ", "0-9")] + [points] + ["(?<![a-zA-Z0-9])[a-z]", "(?<![а-яёА-ЯЁ0-9])[а-яё]"] * (not skip_lower)
+        upto = F.regexp_extract(trimmed, f"(?s)^(?>.*?(?:{'|'.join(begins)})){{{max(parts_limit, 1)}}}", 0)
+        trimmed = F.when(upto != "", upto).otherwise(trimmed) if parts_limit > 0 else F.left(trimmed, F.lit(0))
+    # what is not taken goes, as told by the character before it
+    lower = ["[a-zа-яё]"] if skip_lower else ["(?<=[a-zA-Z0-9])[a-z]", "(?<=[а-яёА-ЯЁ0-9])[а-яё]"]
+    return F.regexp_replace(trimmed, "|".join([f"[^{letters}0-9.,]", f"(?<=[{letters}.,])[.,]", *lower]), "")
 
 
 def norm_name(name: Column | str) -> Column:

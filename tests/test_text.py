@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,31 @@ def test_contains_word(value):
     assert found(None, "x") == 0
 
 
+@pytest.mark.parametrize("limit", [None, 0, 1, 2, 5])
+@pytest.mark.parametrize("skip_lower", [False, True])
+def test_abbreviate_character_by_character(spark, limit, skip_lower):
+    """Against the rule applied to one character after the other; the expression stays small."""
+
+    def kind(c):
+        return next((k for k, of in enumerate(("abcz", "ABCZ", "абяё", "АБЯЁ", "019", ".,")) if c in of), 6)
+
+    def want(text):
+        out, before, parts = "", 6, 0
+        for c in text.strip(" "):
+            k = kind(c)
+            starts = not skip_lower and (k == 0 and before not in (0, 1, 4) or k == 2 and before not in (2, 3, 4))
+            if (starts or k == 5 and before in (4, 6) or k in (1, 3, 4)) and (limit is None or parts < limit):
+                out, parts = out + c, parts + (k != before)
+            before = k
+        return out
+
+    rng = random.Random(5)
+    texts = ["", " ", "..", "1..", *("".join(rng.choice("abzABZабёАБЁ019.,  -\n😀") for _ in range(rng.randrange(1, 25))) for _ in range(500))]
+    df = spark.createDataFrame([(x,) for x in texts], "s string").select("s", T.abbreviate("s", parts_limit=limit, skip_lower=skip_lower).alias("v"))
+    assert [(r.s, r.v) for r in df.collect()] == [(x, want(x)) for x in texts]
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 1_500
+
+
 def test_abbreviate(value):
     assert value(T.abbreviate("s"), s="Иванов ИВан-ЮSupov IV именуемый 192.87ым") == "ИИВЮSIVи192.87"
     assert value(T.abbreviate("s", parts_limit=2), s="Ann Bob Carl") == "AB"
