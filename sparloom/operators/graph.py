@@ -165,20 +165,21 @@ def get_order(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> D
 
     edges: (name, required). Nodes whose requirements have all been placed come next, by the number
     of their requirements and name. Members of cycles, and what needs them, come last; loop_type has
-    bit 1 if a node requires itself and bit 2 if it does so through others.
+    bit 1 if a node requires itself and bit 2 if it does so through others. Joins are merges: a round's
+    tables may be short enough for a broadcast, and the rounds' broadcasts would add up at the driver.
     """
     names = nodes.select("name").distinct()
-    edges = edges.select("name", "required").distinct().join(names, "name", "left_semi").join(names.withColumnRenamed("name", "required"), "required", "left_semi").select("name", "required")
+    edges = edges.select("name", "required").distinct().hint("merge").join(names, "name", "left_semi").hint("merge").join(names.withColumnRenamed("name", "required"), "required", "left_semi").select("name", "required")
     edges = _keep(edges)
     open_ = edges.filter("name <> required")
     listed = open_.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("required")), ",").alias("required"), F.count(F.lit(1)).alias("required_count"))
     # each round places the names that wait for nothing more and takes them off what others wait for
-    state = _keep(names.join(listed.select("name", F.col("required_count").alias("waits")), "name", "left").select("name", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("round")))
+    state = _keep(names.hint("merge").join(listed.select("name", F.col("required_count").alias("waits")), "name", "left").select("name", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("round")))
     rounds = []
     for i in range(max_rounds):
         ready = state.filter("waits = 0").select(F.col("name").alias("required"))
-        met = open_.join(ready, "required", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("met"))
-        step = state.join(met, "name", "left").select("name", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), F.when(F.col("waits") == 0, i).alias("round"))
+        met = open_.hint("merge").join(ready, "required", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("met"))
+        step = state.hint("merge").join(met, "name", "left").select("name", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), F.when(F.col("waits") == 0, i).alias("round"))
         step = _keep(step)
         placed = step.filter("round is not null")
         state = step.filter("round is null").select("name", "waits", "round")
@@ -187,10 +188,10 @@ def get_order(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> D
         rounds.append(placed.select("name", "round"))
     rest = state.select("name", F.lit(len(rounds)).alias("round"))
     placed = _union([*rounds, rest])
-    open_ = _keep(open_.join(rest.select("name"), "name", "left_semi").join(rest.select(F.col("name").alias("required")), "required", "left_semi").select("name", "required"))
+    open_ = _keep(open_.hint("merge").join(rest.select("name"), "name", "left_semi").hint("merge").join(rest.select(F.col("name").alias("required")), "required", "left_semi").select("name", "required"))
     loops = _in_cycles(open_).withColumn("through", F.lit(2))
     own = edges.filter("name = required").select("name", F.lit(1).alias("direct"))
-    out = placed.join(listed, "name", "left").join(loops, "name", "left").join(own, "name", "left")
+    out = placed.hint("merge").join(listed, "name", "left").hint("merge").join(loops, "name", "left").hint("merge").join(own, "name", "left")
     out = out.select("name", "round", "required", F.coalesce("required_count", F.lit(0)).alias("required_count"), (F.coalesce("direct", F.lit(0)) + F.coalesce("through", F.lit(0))).alias("loop_type"))
     return numbered(out.withColumn("_key", F.struct("round", "required_count", "name")), "_key").select((F.col("place") + 1).alias("order_index"), "name", "required", "required_count", "loop_type")
 
@@ -206,8 +207,8 @@ def _in_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     found, n = [], edges.count()
     for _ in range(max_rounds):
         while n:  # what has no edge in, or none out, is on no cycle
-            used = edges.select("name").distinct().intersect(edges.select(F.col("required").alias("name")).distinct())
-            kept = _keep(edges.join(used, "name", "left_semi").join(used.withColumnRenamed("name", "required"), "required", "left_semi").select("name", "required"))
+            used = edges.select("name").distinct().hint("merge").join(edges.select(F.col("required").alias("name")).distinct(), "name", "left_semi")
+            kept = _keep(edges.hint("merge").join(used, "name", "left_semi").hint("merge").join(used.withColumnRenamed("name", "required"), "required", "left_semi").select("name", "required"))
             before, n, edges = n, kept.count(), kept
             if n == before:
                 break
@@ -215,22 +216,22 @@ def _in_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
             break
         colour = _keep(edges.select("name").distinct().select("name", F.col("name").alias("colour")))
         for _ in range(max_rounds):
-            along = edges.join(colour, "name").groupBy(F.col("required").alias("name")).agg(F.max("colour").alias("passed"))
-            step = _keep(colour.join(along, "name", "left").select("name", F.greatest("colour", "passed").alias("colour"), (F.col("passed") > F.col("colour")).alias("moved")))
+            along = edges.hint("merge").join(colour, "name").groupBy(F.col("required").alias("name")).agg(F.max("colour").alias("passed"))
+            step = _keep(colour.hint("merge").join(along, "name", "left").select("name", F.greatest("colour", "passed").alias("colour"), (F.col("passed") > F.col("colour")).alias("moved")))
             colour = step.select("name", "colour")
             if step.filter("moved").isEmpty():
                 break
-        inside = edges.join(colour, "name").join(colour.select(F.col("name").alias("required"), F.col("colour").alias("_c")), "required").filter("colour = _c").select("name", "required", "colour")
+        inside = edges.hint("merge").join(colour, "name").hint("merge").join(colour.select(F.col("name").alias("required"), F.col("colour").alias("_c")), "required").filter("colour = _c").select("name", "required", "colour")
         inside = _keep(inside)
         reached = _keep(colour.filter("name = colour"))
         members = [reached]
         while not reached.isEmpty():  # backwards from the name that gave the colour
-            back = inside.join(reached.select(F.col("name").alias("required")), "required", "left_semi").select("name", "colour").distinct()
-            reached = _keep(back.join(_union(members), "name", "left_anti"))
+            back = inside.hint("merge").join(reached.select(F.col("name").alias("required")), "required", "left_semi").select("name", "colour").distinct()
+            reached = _keep(back.hint("merge").join(_union(members), "name", "left_anti"))
             members.append(reached)
         component = _keep(_union(members))
-        found.append(component.join(component.groupBy("colour").count().filter("count > 1"), "colour", "left_semi").select("name"))
-        edges = _keep(edges.join(component, "name", "left_anti").join(component.select(F.col("name").alias("required")), "required", "left_anti").select("name", "required"))
+        found.append(component.hint("merge").join(component.groupBy("colour").count().filter("count > 1"), "colour", "left_semi").select("name"))
+        edges = _keep(edges.hint("merge").join(component, "name", "left_anti").hint("merge").join(component.select(F.col("name").alias("required")), "required", "left_anti").select("name", "required"))
         n = edges.count()
     return _union(found).distinct() if found else edges.select("name").limit(0)
 

@@ -82,3 +82,13 @@ def test_drop_statements(spark):
 def test_call_stack(spark):
     f = spark.createDataFrame([(1, None, 7, "A", 3, 4), (2, 1, 7, "B", 5, None)], "call_id int, caller_id int, statement_id int, object_name string, source_line int, source_column int")
     assert rows(G.call_stack_text(f), "call_stack") == [("2:B[5:]<1\n1:A[3:4]<",)]
+
+
+def test_order_sends_no_table_through_the_driver(spark, monkeypatch):
+    """No step of the order joins by a broadcast, but for the table of partitions that numbers the rows."""
+    plans, keep = [], G._keep
+    monkeypatch.setattr(G, "_keep", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("f", "e")], "name string, required string")
+    got = G.get_order(edges, edges.select("name"))
+    assert {r["name"]: r["loop_type"] for r in got.collect()} == {"a": 2, "b": 2, "c": 0, "d": 1, "e": 0, "f": 0}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans)
