@@ -183,3 +183,32 @@ def test_json_node_root(value):
 def test_built_json_parses(value):
     text = value(B.json_node("k", F.col("v"), required=1), v='say "hi" \\ there')
     assert J.parse(text)[0]["val"] == 'say "hi" \\ there'
+
+
+def test_members_of_a_found_node_are_those_of_its_own_text():
+    """get_node takes them from the one parse; the node's text parsed again gives the same."""
+
+    def again(text):
+        nodes = J.parse(text)
+        for hit in sorted((n for n in nodes if n["error_code"] == 0 and n["name"] == "type" and n["val"] == "B"), key=lambda n: -n["level"]):
+            for n in nodes:
+                if n["error_code"] == 0 and n["node_start"] < hit["node_start"] and n["node_end"] > hit["node_end"] and n["level"] == hit["level"] - 1:
+                    own = [m for m in J.parse(n["val"]) if m["name"] == "value" and m["level"] == 1]
+                    yield from [(n["val"], m.get("name"), m.get("value_type"), m.get("val")) for m in own or [{}]]
+
+    for v in ("1", '"x"', "{}", "[1, 2]", '{"value": 3, "in": {"value": 4}}', '[{"type": "B", "value": 5}]', '{"type": "B"}'):
+        for doc in (f'{{"a": [{{"type": "B", "value": {v}}}, {{"value": 7, "type": "B", "value": 8}}]}}', f'{{"n": {{"in": {v}, "type": "B", "value": {v},}},}}', f'[{{"type": "B"}}, {v}, {{"type": "B", "value": {v}', f'{{"type": "B", "value": {v}}} x'):
+            assert [(g["node"], g["value_name"], g["value_type"], g["val"]) for g in J.get_node(doc, "type", "B", "value")] == list(again(doc))
+
+
+def test_rows_are_held_for_few_documents_at_once(spark):
+    """A worker turns rows into Arrow columns before it parses the next documents."""
+
+    def rows_of(text):
+        import gc
+
+        held = sum(type(o) is dict and "_held" in o for o in gc.get_objects()) if int(text) % 500 == 499 else 0
+        return [{"live": held, "_held": [text]}]
+
+    live = spark.range(0, 4_000, 1, 1).select(F.inline(J.rows_udf("live:bigint", rows_of)(F.col("id").cast("string")))).agg(F.max("live")).first()[0]
+    assert 0 < live <= 2 * J._CHUNK
