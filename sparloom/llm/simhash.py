@@ -384,13 +384,43 @@ def _neighbours(spark: SparkSession, sets: DataFrame, fold: int) -> DataFrame:
     return ordered.mapInArrow(tidy(meet), "a bigint, b bigint, root_a bigint, root_b bigint").distinct()
 
 
+def _by_fingerprint(spark: SparkSession, scratch: Scratch, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), saved: the pairs that the fingerprint index links and that have the similarity. Texts of one
+    fingerprint are paired with the next in a sort that splits long lists over tasks."""
+
+    def digest(batches):
+        for batch in batches:
+            fps = [majority(np.frombuffer(s, "<u8")) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8"))], ["node", "fp"])
+
+    def chain(batches):
+        last = [np.zeros(0, np.int64)] * 2
+        for batch in batches:
+            fp, node = (np.concatenate([old, new.to_numpy()]) for old, new in zip(last, batch.columns, strict=True))
+            hit = np.nonzero(fp[:-1] == fp[1:])[0]
+            last = [fp[-1:], node[-1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(node[hit + 1])], ["a", "b"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fps = scratch.save(sets.select("node", "shingles").mapInArrow(tidy(digest), "node bigint, fp bigint"))
+    equal = fps.repartitionByRange(n, "fp", "node").sortWithinPartitions("fp", "node").select("fp", "node").mapInArrow(tidy(chain), "a bigint, b bigint")
+    first = scratch.save(fps.groupBy("fp").agg(F.min("node").alias("node")))
+    linked = links(first.select("fp")).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    found = _verified(scratch, equal.unionByName(linked).distinct(), sets, similarity)
+    scratch.drop(fps)
+    scratch.drop(first)
+    return found
+
+
 def _folded(spark: SparkSession, scratch: Scratch, sets: DataFrame, n_texts: int, similarity: float) -> DataFrame:
-    """(node, root): most of every crowd tied together, by rounds of neighbours under ever new keys.
+    """(node, root): most of every crowd tied together, by the fingerprint index and then by rounds of
+    neighbours under ever new keys.
 
     The first round takes in all texts. Each further one takes in the texts, with all of their group, that
     have met a text of another group without being similar, as members of crowds not yet whole do.
     """
-    active, ties, members = sets.withColumn("root", F.col("node")), [], None
+    ties, members = [_by_fingerprint(spark, scratch, sets, similarity)], None
+    active = sets.join(components(spark, ties[0]), "node", "left").withColumn("root", F.coalesce("root", "node"))
     for fold in range(1000):
         met = scratch.save(_neighbours(spark, active, fold))
         found = _verified(scratch, met.select("a", "b"), sets, similarity)
@@ -461,7 +491,8 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     the one that stays of its group. Groups are the components of links between texts whose sets of
     word shingles have a Jaccard similarity of at least `similarity`; the smallest id stays.
 
-    Texts with equal sets are one class. Folding rounds tie most of every crowd together: each class
+    Texts with equal sets are one class. Pairs that the fingerprint index links (links()) are verified by
+    their sets and tied. Folding rounds tie most of what is left of every crowd together: each class
     is verified against its neighbours under FOLDS keys a round. What follows is complete: every class
     posts the prefix of its set, from rare to common shingles, and two classes that reach the similarity
     share a posting's key. Lists whose classes are all of one group are passed over, as links inside a

@@ -238,6 +238,20 @@ def test_similar_texts(spark, odd, empty):
     assert simhash.drop_similar(spark, empty).collect() == []
 
 
+def test_similar_texts_are_named_by_the_fingerprint_index(spark, monkeypatch):
+    """Pairs come from the index first; those whose sets are not similar are not tied by it."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1000, 120)) for _ in range(6)]
+    copies = [x + " end" for x in texts]
+    df = spark.createDataFrame(list(enumerate([*texts, *copies, "one", "two"])), "doc_id bigint, text string")
+    seen, found = [], simhash._by_fingerprint
+    monkeypatch.setattr(simhash, "_by_fingerprint", lambda *a: (seen.append(found(*a)), seen[-1])[1])
+    kept = {r.doc_id for r in simhash.drop_similar(spark, df).collect()}
+    assert kept == {0, 1, 2, 3, 4, 5, 12, 13}
+    n_linked = sum(bin(simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)).count("1") <= 2 for a, b in zip(texts, copies, strict=True))
+    assert len(seen) == 1 and n_linked > 0 and seen[0].count() >= n_linked
+
+
 def test_similar_texts_with_the_same_filler_are_not_copies(spark):
     """One shingle makes up most of each text and all of its fingerprint; the rest is different."""
     rows = [(i, " ".join(["-"] * 200 + [f"w{i}x{j}" for j in range(60)])) for i in range(6)]
