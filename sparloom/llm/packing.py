@@ -18,6 +18,7 @@ a null doc_id is carried. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections import Counter
@@ -34,10 +35,17 @@ from sparloom.llm.common import Scratch, columns_free_of, tidy
 END_ID = 1
 #: Words, and parts of words, whose ids a worker remembers; beyond it, it starts afresh.
 MEMO_WORDS, MEMO_PIECES = 400_000, 200_000
-#: Characters that normalisation leaves as they are, apart from their case.
-_PLAIN = regex.compile(r"[!-~¡-ɏ]*")
+#: New words of a text that are cut at once.
+_LEARN = 1 << 16
+#: Characters that normalisation leaves as they are, apart from their case, and line ends between words.
+_PLAIN = regex.compile(r"[\n!-~¡-ɏ]*")
+#: Bytes that only characters from U+0240 on have, all combining ones among them, or none at all.
+_MARKS = re.compile(rb"[\xc9-\xff]")
+#: Between words' ids: no id is as large, nor does any hold 255 in its third byte.
+_LINE_END = b"\xff\xff\xff\xff"
 # The vocabulary file's own cutting pattern.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LINE_OR_PRE_TOKEN = regex.compile(r"\n|" + _PRE_TOKEN.pattern)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,43 +56,75 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-class WordIds(dict):
-    """Word (bytes without ASCII white space) -> its ids as little-endian uint32 bytes, remembered.
+class WordIds:
+    """Words (bytes without ASCII white space) -> their ids as little-endian uint32 bytes, remembered.
 
-    White space always ends a token, so a text's ids are those of its words, one after another.
-    Plain Latin words go to the vocabulary's BPE model piece by piece, which skips most of the
-    library's overhead; any other word goes through the whole tokenizer.
+    White space always ends a token, so a text's ids are those of its words, one after another. A-Z of
+    texts that normalisation only lower-cases are lowered first, so that spellings share an entry. A text's
+    new plain Latin words are cut in one go, and only pieces never met go to the vocabulary's BPE model,
+    which skips most of the library's overhead; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.words: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self._piece)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        s = word.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(s) or any(x in s for x in self.special):
-            out = _packed(self.tokenizer.encode(s, add_special_tokens=False).ids)
-        else:
-            out = b"".join([self.pieces.get(p) or self._piece(p) for p in _PRE_TOKEN.findall(s.lower())])
-        self[word] = out
-        return out
+    def _plain(self, s: str) -> bool:
+        return bool(_PLAIN.fullmatch(s)) and not any(x in s for x in self.special)
 
     def _piece(self, p: str) -> bytes:
-        if len(self.pieces) >= MEMO_PIECES:
-            self.pieces.clear()
-        out = self.pieces[p] = _packed([x.id for x in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
-        return out
+        return _packed([x.id for x in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remembers new words; plain ones at once, a line each, as no piece goes over a line's end."""
+        lines = b"\n".join(words).decode("utf-8", "replace")
+        if self._plain(lines):
+            ids = b"".join(map(self.pieces.__getitem__, _LINE_OR_PRE_TOKEN.findall(lines.lower())))
+            self.words.update(zip(words, ids.split(_LINE_END), strict=True))
+        elif len(words) > 1:
+            for word in words:
+                self._learn([word])
+        else:
+            self.words[words[0]] = _packed(self.tokenizer.encode(lines, add_special_tokens=False).ids)
 
     def text(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        # a mark may compose with the small letter before it and not with the capital; special ids are spelled exactly
+        if not _MARKS.search(text):
+            low = text.lower()
+            if not any(x.encode().lower() in low for x in self.special):
+                text = low
+        words, out = text.split(), []
+        for start in range(0, len(words), _LEARN):  # so that the new words of a very long text need bounded memory
+            some = words[start : start + _LEARN]
+            new = set(some).difference(self.words)
+            if new:
+                if len(self.words) >= MEMO_WORDS:
+                    self.words.clear()
+                    new = set(some)
+                self._learn(list(new))
+            out.append(b"".join(map(self.words.__getitem__, some)))
+        return b"".join(out)
+
+
+class Pieces(dict):
+    """Piece of a plain word, or a line's end -> its ids, as WordIds."""
+
+    def __init__(self, ids_of):
+        super().__init__({"\n": _LINE_END})
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO_PIECES:
+            self.clear()
+            self["\n"] = _LINE_END
+        out = self[piece] = self.ids_of(piece)
+        return out
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -52,6 +52,22 @@ def test_cut(n, how):
     assert sum(parts) == n and all(0 < p <= capacity for p in parts)
 
 
+def test_spellings_share_an_entry_and_new_words_are_cut_at_once():
+    memo = packing.WordIds(VOCABULARY)
+    asked, cuts = [], []
+    piece, learn = memo._piece, memo._learn
+    memo.pieces.ids_of = lambda p: asked.append(p) or piece(p)
+    memo._learn = lambda words: cuts.append(len(words)) or learn(words)
+    text = "Ente ENTE ente, Öl ÖL öl don'T zzq zzq! " + " ".join(f"wort{i}x" for i in range(300))
+    got = np.frombuffer(memo.text(text.encode()), "<u4").tolist()
+    assert got == memo.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and len(cuts) == 1 and cuts[0] < len(set(text.split()))
+    odd = "H\u0331 h\u0331 <|ENDOFTEXT|> <|endoftext|> A\x1cB ɏ ɐ ΑΣ"  # spelled exactly, or composed, or not plain
+    got = np.frombuffer(memo.text(odd.encode()), "<u4").tolist()
+    assert got == [i for w in odd.split(" ") for i in memo.tokenizer.encode(w, add_special_tokens=False).ids]
+
+
+
 def check_packing(spark, docs, tokenizer, capacity):
     out = packing.pack(spark, docs, VOCABULARY, capacity=capacity, floor=max(2, capacity // 32), with_ids=True)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
