@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -101,6 +102,13 @@ class Scratch:
         """Deletes what save() wrote, once nothing reads it any more."""
         delete(self.spark, df.saved_at)
 
+    def free_shuffles(self) -> None:
+        """Has the driver's JVM collect its garbage: Spark deletes the shuffle files of finished queries only
+        then, and until it happens by itself those of a whole stage may have piled up. Python's garbage goes
+        first, as it may hold on to the JVM's."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only, in the JVM.

@@ -284,6 +284,7 @@ FOLDS = 8
 FOLD_ON = 0.01
 #: Words of a set's parity map (see _parity).
 MAP_WORDS = 8
+_MAPS = [f"map_{i}" for i in range(MAP_WORDS)]
 #: Texts counted, about, and counters for the order of shingles from rare to common. They decide how
 #: long lists are, not what is found.
 COUNTED, COUNTERS = 1 << 16, 1 << 22
@@ -321,11 +322,28 @@ def _rarity(spark: SparkSession, sets: DataFrame, n_texts: int) -> np.ndarray:
     return out
 
 
-def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, saved."""
-    pairs = scratch.save(pairs)
+def _may_reach(similarity: float) -> Column:
+    """Whether two sets, with their sizes and maps in tables a and b, may have the similarity: bounds, not
+    estimates."""
+    size_a, size_b = F.col("a.size"), F.col("b.size")
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in _MAPS])
+    sized = F.least(size_a, size_b) >= F.lit(similarity) * F.greatest(size_a, size_b) - _SLACK
+    return sized & (apart <= F.lit((1 - similarity) / (1 + similarity)) * (size_a + size_b) + _SLACK)
+
+
+def _possible(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), saved, that sizes and maps leave: whole sets need not travel for the others."""
+    traits = sets.select("node", "size", *_MAPS)
+    pairs = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    met = pairs.join(traits.alias("a"), F.col("x") == F.col("a.node")).join(traits.alias("b"), F.col("y") == F.col("b.node"))
+    return scratch.save(met.filter(_may_reach(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float, bounded: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, saved. bounded: they are known to be possible."""
+    pairs = scratch.save(pairs) if bounded else _possible(scratch, pairs, sets, similarity)
     nodes = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = _having(sets, nodes)
+    sets = _having(sets.select("node", "shingles"), nodes)
 
     def verify(batches):
         for batch in batches:
@@ -341,6 +359,7 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: f
     found = scratch.save(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(verify), "a bigint, b bigint"))
     scratch.drop(pairs)
     scratch.drop(nodes)
+    scratch.free_shuffles()
     return found
 
 
@@ -423,6 +442,7 @@ def _folded(spark: SparkSession, scratch: Scratch, sets: DataFrame, n_texts: int
     active = sets.join(components(spark, ties[0]), "node", "left").withColumn("root", F.coalesce("root", "node"))
     for fold in range(1000):
         met = scratch.save(_neighbours(spark, active, fold))
+        scratch.free_shuffles()
         found = _verified(scratch, met.select("a", "b"), sets, similarity)
         ties.append(found)
         if members:
@@ -434,7 +454,7 @@ def _folded(spark: SparkSession, scratch: Scratch, sets: DataFrame, n_texts: int
         again = failed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
         members = scratch.save(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(again, "root", "left_semi"))
         scratch.drop(met)
-        active = sets.join(members, "node")
+        active = sets.join(F.broadcast(members) if members.count() <= FEW else members, "node")
     return components(spark, functools.reduce(DataFrame.unionByName, ties))
 
 
@@ -461,29 +481,24 @@ def _candidates(scratch: Scratch, sets: DataFrame, roots: DataFrame, rarity: np.
 
     postings = sets.select("node", "shingles").mapInArrow(tidy(post), "key bigint, node bigint, place int, size int")
     postings = scratch.save(postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    scratch.free_shuffles()
     # lists inside one group, as most are, have nothing to find
     flipped = postings.groupBy(F.bitwise_not(F.col("key")).alias("_flipped")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    wanted = scratch.save(_having(postings, scratch.save(flipped.select(F.bitwise_not(F.col("_flipped")).alias("key")))))
+    keys = scratch.save(flipped.select(F.bitwise_not(F.col("_flipped")).alias("key")))
+    scratch.free_shuffles()
+    wanted = scratch.save(_having(postings, keys))
     scratch.drop(postings)
-    maps = [f"map_{i}" for i in range(MAP_WORDS)]
-
-    def parity(batches):
-        for batch in batches:
-            words = np.array([_parity(np.frombuffer(s, "<u8")) for s in batch.column(1).to_pylist()], "<i8").reshape(-1, MAP_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, i].copy()) for i in range(MAP_WORDS))], ["node", *maps])
-
-    contested = _having(sets, scratch.save(wanted.select("node").distinct())).select("node", "shingles")
-    mapped = contested.mapInArrow(tidy(parity), "node bigint, " + ", ".join(f"{m} bigint" for m in maps))
-    wanted = scratch.save(wanted.join(mapped, "node"))
-    left, right = (wanted.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "place", "size", *maps)]) for x in "ab")
+    scratch.drop(keys)
+    mapped = scratch.save(wanted.join(_having(sets.select("node", *_MAPS), scratch.save(wanted.select("node").distinct())), "node"))
+    scratch.drop(wanted)
+    scratch.free_shuffles()
     # what two sets share is at most what lies before, at and behind a common shingle
-    most = F.least("place_a", "place_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    enough = most >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - _SLACK
-    sized = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - _SLACK
-    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps])
-    near = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) + _SLACK
-    met = left.hint("merge").join(right, (left.key == right.key) & (F.col("root_a") < F.col("root_b")) & enough & sized & near)
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    place_a, place_b, size_a, size_b = (F.col(c) for c in ("a.place", "b.place", "a.size", "b.size"))
+    most = F.least(place_a, place_b) + F.least(size_a - place_a, size_b - place_b)
+    enough = most >= F.lit(similarity / (1 + similarity)) * (size_a + size_b) - _SLACK
+    # both sides are one table of the same columns, so that it is shuffled once
+    met = mapped.alias("a").hint("merge").join(mapped.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & enough & _may_reach(similarity))
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -515,7 +530,10 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 some = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(distinct_shingles(some.column(1)), pa.binary())], ["node", "shingles"])
+                sets = distinct_shingles(some.column(1))
+                maps = np.array([_parity(np.frombuffer(x, "<u8")) for x in sets], "<i8").reshape(-1, MAP_WORDS)
+                sizes = pa.array([len(x) // 8 for x in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary()), sizes, *(pa.array(maps[:, i].copy()) for i in range(MAP_WORDS))], ["node", "shingles", "size", *_MAPS])
 
     rows = scratch.save(keyed.mapInArrow(tidy(digest), "row_hi bigint, row_lo bigint, doc_id bigint, digest binary"))
     # nulls last: a known id is preferred
@@ -524,12 +542,16 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     # of each class the text of its first row; rows of equal keys are equal
     firsts = classes.select("node", "first.row_hi", "first.row_lo")
     texts = keyed.select("row_hi", "row_lo", "text").dropDuplicates(["row_hi", "row_lo"]).join(firsts, ["row_hi", "row_lo"])
-    sets = scratch.save(texts.select("node", "text").mapInArrow(tidy(shingle_sets), "node bigint, shingles binary"))
+    sets = scratch.save(texts.select("node", "text").mapInArrow(tidy(shingle_sets), "node bigint, shingles binary, size int, " + ", ".join(f"{m} bigint" for m in _MAPS)))
+    scratch.free_shuffles()
     n_texts = classes.count()
     roots = _folded(spark, scratch, sets, n_texts, similarity)
-    candidates = _candidates(scratch, sets, roots, _rarity(spark, sets, n_texts), similarity)
-    links = _verified(scratch, candidates, sets, similarity)
+    rarity = _rarity(spark, sets, n_texts)
+    scratch.free_shuffles()
+    candidates = _candidates(scratch, sets, roots, rarity, similarity)
+    links = _verified(scratch, candidates, sets, similarity, bounded=True)
     scratch.drop(sets)
+    scratch.free_shuffles()
     # what the first round tied is a star around its root by now
     roots = components(spark, links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
