@@ -291,3 +291,14 @@ def test_similar_crowds_are_all_tied(spark):
     texts = [t for g in range(10) for t in crowds(f"k{g}", members=9)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash.drop_similar(spark, df).collect()) == list(range(0, len(texts), 20))
+
+
+def test_sets_travel_only_for_pairs_that_bounds_leave(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = [f"s{k}" for k in range(60)]
+    texts = [" ".join([*shared, *(f"w{i}x{k}" for k in rng.integers(0, 1000, 200))]) for i in range(12)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0] + " end"])), "doc_id bigint, text string")
+    left, possible = [], simhash._possible
+    monkeypatch.setattr(simhash, "_possible", lambda *a: (left.append(r := possible(*a)), [left.append(r.count()), r][1])[1])
+    assert sorted(r.doc_id for r in simhash.drop_similar(spark, df).collect()) == list(range(12))
+    assert max(n for n in left if isinstance(n, int)) == 1
