@@ -400,6 +400,41 @@ def test_few_labelled_pages_teach_nothing_and_long_baskets_end(spark):
     assert {r.page_id for r in out.collect() if r.verdict == "block"} == {i for i in range(400) if i % 5 == 0}
 
 
+def minimal_rules(has, bad, least, confidence):
+    found = []
+    for n in range(1, has.shape[1] + 1):
+        for some in map(frozenset, combinations(range(has.shape[1]), n)):
+            if not any(r <= some for r in found):
+                on = has[:, list(some)].all(1)
+                if (on & bad).sum() >= least and (on & bad).sum() >= confidence * on.sum():
+                    found.append(some)
+    return set(found)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_branch_and_bound_finds_all_minimal_rules(seed):
+    rng = np.random.default_rng(seed)
+    has = rng.random((int(rng.integers(60, 160)), 8)) < rng.uniform(0.4, 0.95)
+    bad = rng.random(len(has)) < rng.uniform(0.2, 0.6)
+    bad |= has[:, 0] & has[:, 1] & (rng.random(len(has)) < 0.7)
+    got = [frozenset(s) for s in urls.branch_and_bound(has, bad.astype(np.int64), (~bad).astype(np.int64), 5, 0.8)]
+    got = {s for s in got if not any(r < s for r in got)}
+    assert got == minimal_rules(has, bad, 5, 0.8)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 400])
+def test_rules_of_long_baskets_below_the_raised_support(spark, monkeypatch, cells):
+    monkeypatch.setattr(urls, "MAX_CELLS", cells)
+    rng = np.random.default_rng(4)
+    # 18 keys on most pages, so that FP-growth's support is raised; two rarer ones tell on 24 unwanted pages, together only
+    keys = [{f"k{j}" for j in range(18) if rng.random() < 0.93} | {x for x, on in (("a", i < 24 or 100 <= i < 160), ("b", i < 24 or 160 <= i < 220)) if on} for i in range(400)]
+    bad = [i < 24 or i % 7 == 0 for i in range(400)]
+    pages = spark.createDataFrame([(i, "http://h.com/?" + "&".join(sorted(k))) for i, k in enumerate(keys)], "page_id bigint, url string")
+    labels = spark.createDataFrame(list(enumerate(bad)), "item bigint, unwanted boolean")
+    out = urls.filter_urls(spark, pages, labels, [], min_confidence=0.9)
+    assert {r.page_id for r in out.collect() if r.verdict == "block"} == {i for i, k in enumerate(keys) if {"a", "b"} <= k}
+
+
 # embeddings
 
 
