@@ -28,7 +28,6 @@ lowest number. Without training rows every word is unknown. Extra columns are ig
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,12 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.llm.common import Scratch, columns_free_of, tidy
-from sparloom.llm.simhash import words_of
 
 #: A token no word can equal, as words hold no white space.
 END = b"\n"
 #: Entries a worker collects before it hands them on.
 FLUSH = 1_000_000
+#: Bytes of words and offsets that a worker numbers together.
+GROUP = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -57,38 +57,68 @@ class Size:
     rounds: int = 4
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    return [*words_of(text or b""), END]
-
-
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(docs[text_col].cast("binary").alias("text"))
 
 
-class Numbers(dict):
-    """word -> its number, -1 for others."""
+def in_numbers(batches, column: int = 0, most: int = 0):
+    """(words, t, lengths) for groups of batches, which end at `most` tokens or GROUP bytes: the different words,
+    END the last; END and then the tokens of all texts one after the other, as numbers of
+    words, so that each text follows an END; and how many tokens each text has.
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
+    Arrow cuts and numbers the words, none of which becomes a Python object. Its functions for ASCII lower
+    A-Z only and cut at the six ASCII white-space characters, whatever the other bytes.
+    """
+    held, n, size = [], 0, 0
+
+    def group():
+        coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+        lengths = np.concatenate([x for _, x in held]) + 1
+        words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+        t = np.full(1 + lengths.sum(), len(words) - 1, np.int64)
+        inside = np.ones(len(t), bool)
+        inside[0] = inside[np.cumsum(lengths)] = False
+        t[inside] = np.asarray(coded.indices)
+        return words, t, lengths
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(column), b"").view(pa.string())))
+        lengths = np.asarray(pc.list_value_length(cut)).astype(np.int64)
+        words = cut.flatten().view(pa.binary())
+        full = np.asarray(pc.binary_length(words)) > 0  # white space at an end leaves an empty piece
+        if not full.all():
+            lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[full], minlength=len(lengths))
+            words = words.filter(pa.array(full))
+        held.append((words, lengths))
+        n += len(words) + len(lengths)
+        size += words.nbytes
+        if n > most or size > GROUP:
+            yield group()
+            held, n, size = [], 0, 0
+    if held:
+        yield group()
+
+
+def places(words: pa.Array, of: list[bytes]) -> np.ndarray:
+    """The place of each word in the list `of`, len(of) for others."""
+    return np.asarray(pc.fill_null(pc.index_in(words, value_set=pa.array(of, pa.binary())), len(of))).astype(np.int64)
+
+
+def lists_of(own: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """Each column's values as bytes, a list for each run of equal numbers in own."""
+    first = np.nonzero(np.diff(own, prepend=-1))[0]
+    ends = np.append(first, len(own)).astype(np.int32)
+    return [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in columns]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c): every token of all rows, END included."""
 
     def run(batches):
-        counts: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text or b""))
-                counts[END] += 1
-                if len(counts) > FLUSH:
-                    yield out()
-                    counts.clear()
-        yield out()
+        for words, t, _ in in_numbers(batches, most=4 * FLUSH):
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(t[1:], minlength=len(words)))], ["word", "n"])
 
     return _texts(docs, text_col).mapInArrow(tidy(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -113,24 +143,10 @@ def head_bigrams(docs: DataFrame, head: list[bytes], text_col: str = "text") ->
     k = len(head) + 1
 
     def run(batches):
-        number = Numbers({w: i for i, w in enumerate(head)})
-        end = number[END]
-        codes: list[np.ndarray] = []
-        held = 0
-
-        def out():
-            u, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array((u // k).astype(np.int16)), pa.array((u % k).astype(np.int16)), pa.array(n)], ["a", "b", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                t = np.array([end, *map(number.__getitem__, tokens_of(text))], dtype=np.int32) % k
-                codes.append(t[:-1] * k + t[1:])
-                held += len(codes[-1])
-                if held > 4 * FLUSH:
-                    yield out()
-                    codes, held = [], 0
-        yield out()
+        for words, t, _ in in_numbers(batches, most=4 * FLUSH):
+            t = places(words, head).astype(np.int32)[t]
+            u, n = np.unique(t[:-1] * np.int32(k) + t[1:], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((u // k).astype(np.int16)), pa.array((u % k).astype(np.int16)), pa.array(n)], ["a", "b", "n"])
 
     return _texts(docs, text_col).mapInArrow(tidy(run), "a smallint, b smallint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -142,38 +158,16 @@ def contexts(docs: DataFrame, head: list[bytes], class_of: np.ndarray, classes:
     slots = 2 * (classes + 1)
 
     def run(batches):
-        cls = Numbers({w: int(c) for w, c in zip(head, class_of, strict=True)})
-        end = cls[END]
-        numbers: dict[bytes, int] = {}
-        codes: list[np.ndarray] = []
-        held = 0
-
-        def out():
-            u, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        cls = np.append(class_of, classes)
+        for words, t, _ in in_numbers(batches, most=4 * FLUSH):
+            of = cls[places(words, head)[t]]
+            at = np.nonzero(of == classes)[0]  # END is before and behind in any case
+            own = t[at] * slots
+            u, n = np.unique(np.concatenate([own + of[at - 1], own + classes + 1 + of[at + 1]]), return_counts=True)
             own, slot = np.divmod(u, slots)
-            first = np.nonzero(np.diff(own, prepend=-1))[0]  # numbers are given in order, so this is one run a word
-            ends = np.append(first, len(u)).astype(np.int32)
-            lists = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (slot.astype(np.uint8), n.astype("<u4"))]
-            whole = pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.binary()), *lists], ["word", "slots", "counts"])
-            for at in range(0, max(1, len(first)), FLUSH // 8):
-                yield whole.slice(at, FLUSH // 8)
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = tokens_of(text)
-                t = np.array([end, *map(cls.__getitem__, tokens)], dtype=np.int64)
-                at = np.nonzero(t < 0)[0]
-                if len(at):
-                    own = np.array([numbers.setdefault(tokens[i - 1], len(numbers)) for i in at.tolist()], dtype=np.int64)
-                    t[at] = classes
-                    codes.append(own * slots + t[at - 1])
-                    codes.append(own * slots + classes + 1 + t[at + 1])  # END follows in any case
-                    held += 2 * len(at)
-                if held > 4 * FLUSH or len(numbers) > FLUSH // 2:
-                    yield from out()
-                    codes, held = [], 0
-                    numbers.clear()
-        yield from out()
+            whole = pa.RecordBatch.from_arrays([words.take(pa.array(np.unique(own))), *lists_of(own, slot.astype(np.uint8), n.astype("<u4"))], ["word", "slots", "counts"])
+            for start in range(0, whole.num_rows, FLUSH // 8):
+                yield whole.slice(start, FLUSH // 8)
 
     return _texts(docs, text_col).mapInArrow(tidy(run), "word binary, slots binary, counts binary")
 
@@ -332,47 +326,27 @@ def tail_bigrams(docs: DataFrame, head: list[bytes], known: dict[bytes, tuple[in
     flush = FLUSH
 
     def run(batches):
-        cls = Numbers({w: d for w, (_, d) in known.items()} | dict.fromkeys(head, classes))
+        of_known = {w: d for w, (_, d) in known.items()} | dict.fromkeys(head, classes)
+        cls = np.array([*of_known.values(), -1], np.int64)
         sums = np.zeros(classes * classes, np.int64)
-        numbers: dict[bytes, int] = {}
-        pairs: Counter = Counter()
-        codes: list[int] = []
 
         def rows(size: int, **columns):
             whole = pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(size, kind) for x, kind in zip(names, kinds, strict=True)], names)
             for start in range(0, size, flush // 8):
                 yield whole.slice(start, flush // 8)
 
-        def out():
-            u, n = np.unique(np.array(codes, np.int64), return_counts=True)
+        for words, t, _ in in_numbers(batches, most=4 * flush):
+            of = cls[places(words, list(of_known))[t]]
+            at = np.nonzero((of[:-1] < classes) & (of[1:] < classes))[0]
+            a, b, x, y = of[at], of[at + 1], t[at], t[at + 1]
+            both, first, last, none = (a >= 0) & (b >= 0), (a >= 0) & (b < 0), (a < 0) & (b >= 0), (a < 0) & (b < 0)
+            sums += np.bincount(a[both] * classes + b[both], minlength=classes * classes)
+            u, n = np.unique(np.concatenate([y[first] * 2 * classes + a[first], x[last] * 2 * classes + classes + b[last]]), return_counts=True)
             own, slot = np.divmod(u, 2 * classes)
-            first = np.nonzero(np.diff(own, prepend=-1))[0]  # numbers are given in order, so this is one run a word
-            ends = np.append(first, len(u)).astype(np.int32)
-            slots, counts = (pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (slot.astype(np.uint8), n.astype("<u4")))
-            yield from rows(len(first), word=pa.array(list(numbers), pa.binary()), slots=slots, counts=counts)
-            one, two = (pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))
-            yield from rows(len(pairs), word=one, next=two, n=pa.array(list(pairs.values()), pa.int64()))
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = tokens_of(text)
-                t = np.fromiter(map(cls.__getitem__, tokens), np.int64, len(tokens))
-                a, b = t[:-1], t[1:]
-                tail = (a < classes) & (b < classes)
-                both = tail & (a >= 0) & (b >= 0)
-                sums += np.bincount(a[both] * classes + b[both], minlength=classes * classes)
-                at = np.nonzero(tail & ~both)[0]
-                for i, x, y in zip(at.tolist(), a[at].tolist(), b[at].tolist(), strict=True):
-                    if x >= 0:
-                        codes.append(numbers.setdefault(tokens[i + 1], len(numbers)) * 2 * classes + x)
-                    elif y >= 0:
-                        codes.append(numbers.setdefault(tokens[i], len(numbers)) * 2 * classes + classes + y)
-                    else:
-                        pairs[tokens[i], tokens[i + 1]] += 1
-                if len(codes) > flush or len(numbers) > flush // 2 or len(pairs) > flush // 2:
-                    yield from out()
-                    codes, numbers, pairs = [], {}, Counter()
-        yield from out()
+            slots, counts = lists_of(own, slot.astype(np.uint8), n.astype("<u4"))
+            yield from rows(len(slots), word=words.take(pa.array(np.unique(own))), slots=slots, counts=counts)
+            u, n = np.unique(x[none] << 32 | y[none], return_counts=True)
+            yield from rows(len(u), word=words.take(pa.array(u >> 32)), next=words.take(pa.array(u & 0xFFFFFFFF)), n=pa.array(n))
         at = np.nonzero(sums)[0]
         yield from rows(len(at), at=pa.array(at.astype(np.int32)), n=pa.array(sums[at]))
 
@@ -477,49 +451,45 @@ def _tokens_scored(model: Model):
     base_total = float(np.log10(model.n + 0.5 * (model.v + 1)))
 
     def run(batches):
-        number = Numbers({w: i for i, w in enumerate(known)})
         cls = np.array([d for _, d in known.values()] + [_OPEN], np.int64)
         c = np.array([c for c, _ in known.values()], np.float64)
         logs, in_training = np.append(np.log10(c + 0.5), 0.0), np.append(c > 0, False)
         emit = np.append(np.log10(c + 0.5) - total[cls[:-1]], 0.0)
         wide = np.zeros((k + 1, k + 1))
         wide[:k, :k] = step
-        end, part, row = int(cls[number[END]]), TaskContext.get().partitionId(), 0
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, words, idx, sides, own_rows = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = tokens_of(text)
-                t = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-                own = cls[t]
-                prev = np.concatenate([[end], own[:-1]])
-                row_id = part << 40 | row
-                row += 1
-                score = float(wide[np.minimum(prev, k), np.minimum(own, k)].sum() + emit[t].sum())
-                opened = np.nonzero(own == _OPEN)[0]
-                twice = []
-                if len(opened):
-                    local: dict[bytes, int] = {}
-                    beside: list[tuple[bytearray, bytearray]] = []  # the classes before each place, and behind it
-                    follow = np.append(own[1:], end)
-                    for j, x, y in zip(opened.tolist(), prev[opened].tolist(), follow[opened].tolist(), strict=True):
-                        w = local.setdefault(tokens[j], len(local))
-                        if w == len(beside):
-                            beside.append((bytearray(), bytearray()))
-                        beside[w][0].append(x)
-                        beside[w][1].append(y)
-                        if x == _OPEN:
-                            twice += (local[tokens[j - 1]], w)
-                    ids += [row_id] * len(local)
-                    words += local
-                    idx += range(len(local))
-                    sides += [bytes(x + y) for x, y in beside]
-                own_rows.append((row_id, struct.pack(_OWN, len(tokens), int(in_training[t].sum()), float(logs[t].sum()) - len(tokens) * base_total, score) + np.array(twice, "<i4").tobytes()))
-            m, d = len(ids), len(own_rows)
+            if not batch.num_rows:
+                continue
+            ((words, numbers, lengths),) = in_numbers([batch], 1)
+            t = places(words, list(known))[numbers]
+            own = cls[t]
+            starts = np.cumsum(lengths) - lengths
+            of_text = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
+            move = np.minimum(own, k)
+            score, t = of_text(wide[move[:-1], move[1:]] + emit[t[1:]]), t[1:]
+            n_known, base = of_text(in_training[t].astype(np.int64)), of_text(logs[t]) - lengths * base_total
+            # the different open words of each text: a row for each
+            at = np.nonzero(own == _OPEN)[0]
+            text = np.repeat(np.arange(len(lengths)), lengths)[at - 1]
+            rows, of_row = np.unique(text << 32 | numbers[at], return_inverse=True)
+            in_text = np.searchsorted(rows >> 32, np.arange(len(lengths)))
+            idx = np.arange(len(rows)) - in_text[rows >> 32]
+            # the classes before its places, then those behind them
+            order = np.argsort(np.concatenate([2 * of_row, 2 * of_row + 1]), kind="stable")
+            sides = lists_of(np.repeat(np.arange(len(rows)), 2 * np.bincount(of_row, minlength=len(rows))), np.concatenate([own[at - 1], own[at + 1]])[order].astype(np.uint8))[0]
+            again = np.nonzero(np.diff(at) == 1)[0]  # places whose next word is open too
+            twice = np.stack([idx[of_row[again]], idx[of_row[again + 1]]], 1).astype("<i4")
+            cuts = np.searchsorted(text[again], np.arange(len(lengths) + 1)).tolist()
+            row_ids = part << 40 | np.arange(row, row + len(lengths))
+            row += len(lengths)
+            owns = [struct.pack(_OWN, *x) + twice[cuts[i] : cuts[i + 1]].tobytes() for i, x in enumerate(zip(lengths.tolist(), n_known.tolist(), base.tolist(), score.tolist(), strict=True))]
+            m, d = len(rows), len(lengths)
             # a row of its own for each text; its key is no word, so it joins with nothing
-            keys = [*words, *(b" %d" % r for r, _ in own_rows)]
+            keys = pa.concat_arrays([words.take(pa.array(rows & 0xFFFFFFFF)), pa.array([b" %d" % r for r in row_ids.tolist()], pa.binary())])
             doc_ids = batch.column(0).take(pa.array([*[None] * m, *range(d)], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array([*ids, *(r for r, _ in own_rows)], pa.int64()), pa.array(keys, pa.binary()), pa.array([*idx, *[None] * d], pa.int32()), pa.array([*sides, *[None] * d], pa.binary()), pa.array([*[None] * m, *(x for _, x in own_rows)], pa.binary())],
+                [doc_ids, pa.array(np.concatenate([row_ids[rows >> 32], row_ids])), keys, pa.concat_arrays([pa.array(idx.astype(np.int32)), pa.nulls(d, pa.int32())]), pa.concat_arrays([sides, pa.nulls(d, pa.binary())]), pa.array([*[None] * m, *owns], pa.binary())],
                 ["doc_id", "row_id", "word", "idx", "sides", "own"],
             )
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,23 @@ def test_unknown_words_take_the_likeliest_class(spark):
         assert got[i].score == pytest.approx(best) and got[i].n_known == sum(w in table for w in words)
 
 
+@pytest.mark.parametrize("most", [0, 20, 1000])
+def test_words_are_numbered_as_python_cuts_them(most):
+    rng = np.random.default_rng(6)
+    parts = [b"a", b"B", b"Ab", b"\xc3\x89", b"\xc2\xa0", b"\x85", b"\xff\xfe", b"\x1c", b"\0", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
+    texts = [None, b"", b" \n", *(b"".join(parts[i] for i in rng.integers(0, len(parts), 12)) for _ in range(200))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 9], pa.binary())], ["text"]) for i in range(0, len(texts), 9)]
+    got = []
+    for words, t, lengths in lm.in_numbers([batches[0].slice(0, 0), *batches], most=most):
+        words = words.to_pylist()
+        assert words[t[0]] == lm.END and len(set(words)) == len(words) and len(t) == 1 + lengths.sum()
+        at = 1 + np.cumsum(lengths) - lengths
+        got += [[words[x] for x in t[i : i + n]] for i, n in zip(at, lengths, strict=True)]
+    lower = bytes(range(256)).lower()
+    assert got == [[*(x or b"").translate(lower).split(), lm.END] for x in texts]
+    assert list(lm.in_numbers([])) == []
+
+
 def test_count_limit(spark):
     counts = spark.createDataFrame([(int(c),) for c in [1] * 50 + [2] * 20 + [7] * 5 + list(range(40, 2000, 7))], "c bigint")
     of = Counter(r.c for r in counts.collect())
