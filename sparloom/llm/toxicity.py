@@ -6,7 +6,8 @@ separators or blanks a word boundary or nothing. Viterbi search finds the most l
 channel costs and a character trigram model counted on all texts. Labelled texts give a lexicon of
 restored words and stems that toxic texts have far more often than others. A text's score is a
 logistic function of two measures: how many of its restored words the lexicon covers, and how dense
-they are.
+they are. For it, a token's lattice is searched only where some path may spell a word of the lexicon
+(see may_spell()); no path of the others can, so they count as decoded to none.
 
 Labels: where they hold texts of one kind only, or nothing tells the kinds apart, no lexicon can be
 learned; every text then gets the same score, which is below 0.5, so nothing is rejected unjudged.
@@ -25,6 +26,7 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -191,6 +193,14 @@ def viterbi(places: list[list[tuple[str, float]]], lm: list[float]) -> str:
     return "".join(reversed(out))
 
 
+def stripped(token: str) -> str:
+    """A token without the signs around it; a spaced-out run as it is."""
+    if " " in token or "\t" in token:
+        return token
+    core = token.lstrip(_STARTS).rstrip(_ENDS)
+    return _DOLLARS.sub("", core) if core.endswith("$$$") else core
+
+
 class Restorer(dict):
     """token -> its restored words, remembered."""
 
@@ -207,7 +217,7 @@ class Restorer(dict):
         return out
 
     def decode(self, token: str) -> tuple[str, ...]:
-        core = _DOLLARS.sub("", token.lstrip(_STARTS).rstrip(_ENDS)) if " " not in token and "\t" not in token else token
+        core = stripped(token)
         if core.isalpha() and not _DOUBLE.search(core) and not any(c in LOOKALIKES for c in core if c > "ɏ"):
             return (core,)
         if not any(c.isalpha() or c in LOOKALIKES for c in core) or core.isdigit():
@@ -399,9 +409,58 @@ def lowest_hashes(scratch: Scratch, items: DataFrame, most: int) -> DataFrame:
     return items.orderBy("_hash", "item").limit(most).drop("_hash")
 
 
+class _Alike(dict):
+    """Code point -> one letter for all that it may be decoded to, nothing for a separator. Letters that
+    share a sign are one letter."""
+
+    same = {x: letters[0] for letters in LOOKALIKES.values() for x in letters[1:]}
+
+    def __missing__(self, cp: int) -> str:
+        c = chr(cp)
+        x = LOOKALIKES.get(c, c if c.isalpha() else "")[:1]
+        self[cp] = out = self.same.get(x, x)
+        return out
+
+
+#: Letters of a lexicon's words, runs as one, that may_spell() compares.
+_HEAD = 8
+
+
+def _any_head(heads: set[str]) -> str:
+    """A regular expression for each of the heads, with every letter once or more."""
+    if not heads:
+        return "(?!)"
+    if "" in heads:
+        return ""
+    tails: dict[str, set[str]] = {}
+    for h in heads:
+        tails.setdefault(h[0], set()).add(h[1:])
+    return "(?:" + "|".join(f"{re.escape(c)}{re.escape(c)}*+{_any_head(t)}" for c, t in sorted(tails.items())) + ")"
+
+
+def may_spell(lexicon: frozenset[str]):
+    """stripped token -> False only if no path through its lattice spells a word of the lexicon.
+
+    A path's word takes its letters, in order, from neighbouring places but for separators, one or two
+    from a run of the same letter. So with separators left out, letters that share a sign taken as one
+    and runs as one, the token holds the word's letters in a row. It begins with them if it consists of
+    letters, as these give no boundaries. A star may be any vowel: such tokens are all decoded.
+    """
+    alike = _Alike()
+    heads = {"".join(c for c, _ in groupby(f.removesuffix("-").translate(alike)))[:_HEAD] for f in lexicon}
+    head = re.compile(_any_head(heads))
+
+    def may(core: str) -> bool:
+        found = (head.match if core.isalpha() else head.search)(core.translate(alike))
+        return found is not None or bool(lexicon) and "*" in core
+
+    return may
+
+
 def _hits(lm: list[float], lexicon: frozenset[str]):
     """text -> (toxic words, tokens), for a worker."""
     restore = Restorer(lm)
+    may = may_spell(lexicon)
 
     class Toxic(dict):
         """token -> how many of its restored words are in the lexicon"""
@@ -409,16 +468,17 @@ def _hits(lm: list[float], lexicon: frozenset[str]):
         def __missing__(self, token: str) -> int:
             if len(self) >= MEMO:
                 self.clear()
-            out = sum(not lexicon.isdisjoint(features([w])) for w in restore.decode(token))
+            out = sum(not lexicon.isdisjoint(features([w])) for w in restore.decode(token)) if may(stripped(token)) else 0
             if len(token) <= 64:
                 self[token] = out
             return out
 
-    toxic = Toxic()
+    toxic = Toxic().__getitem__
 
     def one(text: str | None) -> tuple[int, int]:
-        tokens, n = counted(restore, text or "")
-        return sum(k * toxic[t] for t, k in tokens.items()), n
+        low = (text or "").lower()
+        tokens = low.split()
+        return sum(map(toxic, tokens)) + sum(map(toxic, _SPACED.findall(low))), len(tokens)
 
     return one
 

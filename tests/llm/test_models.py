@@ -159,6 +159,37 @@ def test_scores_against_brute_force(spark, corpus, model):
     assert got[0] > 0.5 > got[1]
 
 
+def test_only_lattices_that_may_spell_a_lexicon_word_are_searched(monkeypatch):
+    searched = []
+    monkeypatch.setattr(toxicity, "viterbi", lambda places, lm_: searched.append(places) or "loser")
+    hits = toxicity._hits([], frozenset({"loser", "stupi-"}))
+    assert hits("coffee b00k ball. 555-8046 a.b 3.1$$$ unlooser x y z Loser") == (1, 11) and not searched
+    assert hits("1oser looser. l0-ser l*ser a|oser " + "l o s e r") == (6, 10) and len(searched) == 6
+    assert toxicity._hits([], frozenset())("l00ser l*ser") == (0, 2) and len(searched) == 6
+
+
+def test_no_word_that_a_lattice_spells_is_left_out():
+    """Against all paths of lattices made from the words and of others."""
+    rng = np.random.default_rng(5)
+    letters, signs = list("ilosgetabzué"), [*toxicity.LOOKALIKES, *"*-._ ßx"]
+    spelt = 0
+    for _ in range(1500):
+        words = ["".join(rng.choice(letters, int(rng.integers(1, 5)))) for _ in range(2)]
+        lexicon = frozenset({words[0], words[1] + "-"})
+        token = str(rng.choice(["", "", "x", "-", "0"]))
+        for c in words[int(rng.integers(2))] if rng.random() < 0.7 else rng.choice(letters + signs, 4):
+            token += str(rng.choice([c, *(s for s, of in toxicity.LOOKALIKES.items() if c in of), *"*" * (c in "aeiou")])) * int(rng.integers(1, 4))
+            token += str(rng.choice(["", "", "", "-", " "]))
+        core = toxicity.stripped(token)
+        paths = {""}
+        for options in toxicity.lattice(core):
+            paths = {p + t for p in paths for t, _ in options}
+        if any(not lexicon.isdisjoint(toxicity.features([w])) for p in paths for w in p.split()):
+            spelt += 1
+            assert toxicity.may_spell(lexicon)(core), (token, lexicon)
+    assert spelt > 300
+
+
 # language model
 
 
