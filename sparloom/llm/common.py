@@ -87,10 +87,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/sparloom-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, *partition_by: str) -> DataFrame:
+    def save(self, df: DataFrame, *partition_by: str, codec: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        writer = df.write
+        writer = df.write.option("compression", codec) if codec else df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)

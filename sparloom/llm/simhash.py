@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import math
 from itertools import combinations, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -282,44 +283,129 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 FOLDS = 8
 #: Folding goes on as long as a round ties this share of the texts.
 FOLD_ON = 0.01
-#: Words of a set's parity map (see _parity).
+#: Words of a set's parity map (see _parity); sets of more shingles than its bits have a wide map besides.
 MAP_WORDS = 8
 _MAPS = [f"map_{i}" for i in range(MAP_WORDS)]
 #: Texts counted, about, and counters for the order of shingles from rare to common. They decide how
 #: long lists are, not what is found.
 COUNTED, COUNTERS = 1 << 16, 1 << 22
+#: Postings that meet in one turn of the complete join, about, and the most turns: what a turn shuffles is
+#: freed before the next.
+TURN_ROWS, TURNS = 1 << 23, 16
 _SLACK = 1e-9
 
 
+class _Texts(NamedTuple):
+    """What a comparison reads. Shingle sets are made from the texts where they are needed: stored, they
+    take several times the texts' disk."""
+
+    texts: DataFrame  #: node, text of every row; texts of one node have equal sets
+    classes: DataFrame  #: a row per node: node, size, maps, wide, fp, lows
+    n: int  #: classes
+    shingle: int
+    similarity: float
+
+
 def prefix_length(n: int, similarity: float) -> int:
     """Of two sets with at least this similarity, the first so many shingles of each, in one order for
     all sets, have one in common."""
     return n - math.ceil(similarity * n - _SLACK) + 1 if n else 0
 
 
+#: Bytes up to which words are hashed side by side, eight bytes of each at a time; longer ones one by one.
+_WORD_BYTES = 64
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (see words_of) of the texts, and where in them each text's begin and end."""
+    whole = b"\n".join([*texts, b""]).translate(_LOWER) + b"\n" + bytes(8)  # eight bytes can be read everywhere
+    edges = np.flatnonzero(np.diff(_SPACE[np.frombuffer(whole, np.uint8)[:-8]], prepend=True))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    from_here = np.ndarray(len(whole) - 7, "<u8", whole, strides=(1,))
+    h = mixed(lengths.astype("<u8"), 1)
+    here = np.flatnonzero(lengths <= _WORD_BYTES)
+    for done in range(0, _WORD_BYTES, 8):
+        here = here[lengths[here] > done]
+        unused = 64 - 8 * np.minimum(lengths[here] - done, 8).astype("<u8")
+        h[here] = mixed(h[here] ^ (from_here[starts[here] + done] << unused), 1)
+    for i in np.flatnonzero(lengths > _WORD_BYTES):
+        h[i] = xxhash.xxh64_intdigest(whole[starts[i] : starts[i] + lengths[i]], SEED)
+    return h, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, from the words' hashes."""
+    total = np.zeros(max(0, len(h) - n + 1) if n else 0, "<u8")
+    for i, odd in enumerate(mixed(np.arange(n, dtype="<u8"), 2) | np.uint64(1)):
+        total += h[i : i + len(total)] * odd
+    return mixed(total, 1)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """The hashes in order, each once (np.unique takes several times as long)."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Of each text the set of its shingles (see shingles_of) as 64-bit hashes in order: not those of
+    shingle_hashes, but equal where those are, in a fraction of the time."""
+    h, at = word_hashes([t or b"" for t in texts])
+    whole = _runs(h, n)
+    return [_distinct(whole[a : b - n + 1] if b - a >= n else _runs(h[a:b], int(b - a))) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _sets(batches, shingle: int):
+    """From batches (node, ..., text): each batch with its rows' places and sets, a node once a task."""
+    seen = set()
+    for batch in batches:
+        at = []
+        for i, node in enumerate(batch.column(0).to_pylist()):
+            if node not in seen:
+                seen.add(node)
+                at.append(i)
+        yield batch, at, shingle_sets(batch.column(batch.num_columns - 1).take(pa.array(at, pa.int64())).to_pylist(), shingle)
+
+
 def _having(df: DataFrame, keys: DataFrame) -> DataFrame:
     """df's rows whose key is in the one column of the saved table keys; a short one spares df a shuffle."""
     return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, keys.columns[0], "left_semi")
 
 
-def _rarity(spark: SparkSession, sets: DataFrame, n_texts: int) -> np.ndarray:
+def _rarity(spark: SparkSession, t: _Texts) -> np.ndarray:
     """By counter, how many of a sample of the texts hold one of its shingles."""
+    shingle = t.shingle
 
     def count(batches):
-        c = np.zeros(COUNTERS, np.int64)
+        c = np.zeros(COUNTERS, np.uint32)
+        for _, _, sets in _sets(batches, shingle):
+            for h in sets:
+                np.add.at(c, (h & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        for block in range(-(-COUNTERS // _CHUNK)):
+            some = c[block * _CHUNK : (block + 1) * _CHUNK]
+            if len(at := np.nonzero(some)[0]):
+                yield packed(block, np.stack([at, some[at]]).astype("<u4"))
+
+    def add(batches):
+        sums = {}
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                np.add.at(c, (np.frombuffer(s, "<u8") & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        at = np.nonzero(c)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at])], ["counter", "n"])
-
-    every = max(1, n_texts // COUNTED)
-    some = sets.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(every)) == 0).select("shingles")
-    table = some.mapInArrow(tidy(count), "counter bigint, n bigint").groupBy("counter").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n"))
-    table = table.select(F.col("counter").cast("int").alias("counter"), "n").toArrow()  # a row per counter at most
-    out = np.zeros(COUNTERS, np.uint16)
-    out[table["counter"].to_numpy()] = table["n"].to_numpy()
-    return out
+            for block, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, n = np.frombuffer(told, "<u4").reshape(2, -1)
+                sums.setdefault(block, np.zeros(_CHUNK, np.int64))[at] += n
+        for block, c in sums.items():
+            yield packed(block, np.minimum(c, 65535).astype("<u2"))
+
+    def packed(block, c):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["block", "counts"])
+
+    every, blocks = max(1, t.n // COUNTED), "block int, counts binary"
+    some = t.texts.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(every)) == 0)
+    table = some.mapInArrow(tidy(count), blocks).repartition("block").mapInArrow(tidy(add), blocks).toArrow()  # 2 bytes a counter
+    out = np.zeros(-(-COUNTERS // _CHUNK) * _CHUNK, np.uint16)
+    for block, c in zip(table["block"].to_pylist(), table["counts"].to_pylist(), strict=True):
+        out[block * _CHUNK : (block + 1) * _CHUNK] = np.frombuffer(c, "<u2")
+    return out[:COUNTERS]
 
 
 def _may_reach(similarity: float) -> Column:
@@ -331,61 +417,101 @@ def _may_reach(similarity: float) -> Column:
     return sized & (apart <= F.lit((1 - similarity) / (1 + similarity)) * (size_a + size_b) + _SLACK)
 
 
-def _possible(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b), saved, that sizes and maps leave: whole sets need not travel for the others."""
-    traits = sets.select("node", "size", *_MAPS)
+def _possible(scratch: Scratch, pairs: DataFrame, t: _Texts) -> DataFrame:
+    """The pairs (a, b), saved, that sizes and maps leave: whole texts need not travel for the others."""
+    traits = t.classes.select("node", "size", *_MAPS)
     pairs = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
     met = pairs.join(traits.alias("a"), F.col("x") == F.col("a.node")).join(traits.alias("b"), F.col("y") == F.col("b.node"))
-    return scratch.save(met.filter(_may_reach(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return scratch.save(met.filter(_may_reach(t.similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def _narrowed(scratch: Scratch, pairs: DataFrame, t: _Texts) -> DataFrame:
+    """Of the saved pairs (a, b) those, saved, that wide maps leave too; pairs without them stay."""
+    similarity = t.similarity
+
+    def narrow(batches):
+        for batch in batches:
+            ok = []
+            for i, (size_a, wide_a, size_b, wide_b) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(2, 6)), strict=True)):
+                if wide_a is None or wide_b is None or _apart(wide_a, wide_b) <= (1 - similarity) / (1 + similarity) * (size_a + size_b) + _SLACK:
+                    ok.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok, pa.int64())) for i in (0, 1)], ["a", "b"])
 
+    maps = t.classes.filter("wide is not null")
+    left, right = (maps.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    mapped = pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", "size_a", "wide_a", "size_b", "wide_b")
+    out = scratch.save(mapped.mapInArrow(tidy(narrow), "a bigint, b bigint"))
+    scratch.drop(pairs)
+    return out
 
-def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float, bounded: bool = False) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, saved. bounded: they are known to be possible."""
-    pairs = scratch.save(pairs) if bounded else _possible(scratch, pairs, sets, similarity)
+
+def _verified(scratch: Scratch, pairs: DataFrame, t: _Texts, bounded: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, saved. bounded: sizes and maps leave them, and they
+    are saved."""
+    pairs = _narrowed(scratch, pairs if bounded else _possible(scratch, pairs, t), t)
     nodes = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = _having(sets.select("node", "shingles"), nodes)
+    texts = scratch.save(_having(t.texts, nodes).dropDuplicates(["node"]), codec="zstd")
+    scratch.free_shuffles()
+    shingle, similarity = t.shingle, t.similarity
 
     def verify(batches):
         for batch in batches:
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(j)[i].as_py(), "<u8") for j in (2, 3))
+            ok, left, right = [], batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            different = list({*left, *right})
+            set_of = dict(zip(different, shingle_sets(different, shingle), strict=True))
+            for i, (x, y) in enumerate(zip(map(set_of.get, left), map(set_of.get, right), strict=True)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
                     ok.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok, pa.int64())) for i in (0, 1)], ["a", "b"])
 
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    found = scratch.save(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(verify), "a bigint, b bigint"))
-    scratch.drop(pairs)
-    scratch.drop(nodes)
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    found = scratch.save(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(verify), "a bigint, b bigint"))
+    for done in (pairs, nodes, texts):
+        scratch.drop(done)
     scratch.free_shuffles()
     return found
 
 
-def _parity(h: np.ndarray) -> np.ndarray:
-    """The parity of a set's shingles in each of 512 places. Maps differ in at most as many places as the
-    sets do in shingles, which tells most pairs of unlike sets apart without the sets."""
-    counts = np.bincount((h >> np.uint64(40) & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS)
-    return np.packbits(counts & 1).view("<i8")
+def _parity(h: np.ndarray, bits: int = 64 * MAP_WORDS) -> bytes:
+    """The parity of a set's shingles in each of so many places. Maps differ in at most as many places as
+    the sets do in shingles, which tells most pairs of unlike sets apart without the sets."""
+    counts = np.bincount((h >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1).tobytes()
+
+
+def _wide(h: np.ndarray) -> bytes | None:
+    """The parity map of a set that would fill the short one: a place for each shingle, up to twice as many."""
+    return _parity(h, 1 << (len(h) - 1).bit_length()) if len(h) > 64 * MAP_WORDS else None
 
 
-def _neighbours(spark: SparkSession, sets: DataFrame, fold: int) -> DataFrame:
-    """(a, b, root_a, root_b): texts of different roots that are next to each other in the list of a key,
-    the lowest shingle of an order; every fold has orders of its own. sets: node, root, shingles.
-    A range sort by key and a random number splits long lists over tasks."""
+def _apart(a: bytes, b: bytes) -> int:
+    """Places in which two maps differ; the longer one is folded to the other's length."""
+    x, y = sorted((np.frombuffer(m, "<u8") for m in (a, b)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _lows(h: np.ndarray, fold: int) -> bytes:
+    """A set's keys in a folding round: its lowest shingle in each of FOLDS orders, other ones every round."""
     orders = range(1 + fold * FOLDS, 1 + (fold + 1) * FOLDS)
+    return np.array([int(mixed(h, k).min()) ^ k for k in orders] if len(h) else [], "<u8").tobytes()
+
+
+def _keyed(batch: pa.RecordBatch, rows: list[int], lows: list[bytes]) -> pa.RecordBatch:
+    """(key, node, root): a row for each key of these rows of a batch (node, root, ...)."""
+    keys = [np.frombuffer(x, "<i8") for x in lows]
+    at = pa.array(np.repeat(np.array(rows, np.int64), [len(x) for x in keys]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), batch.column(0).take(at), batch.column(1).take(at)], ["key", "node", "root"])
+
+
+_KEYED = "key bigint, node bigint, root bigint"
 
-    def post(batches):
-        for batch in batches:
-            keys, at = [], []
-            for i, s in enumerate(batch.column(2).to_pylist()):
-                h = np.frombuffer(s, "<u8")
-                if len(h):
-                    keys += [int(mixed(h, k).min()) ^ k for k in orders]
-                    at += [i] * FOLDS
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype="<u8").view("<i8")), batch.column(0).take(at), batch.column(1).take(at)], ["key", "node", "root"])
+
+def _neighbours(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """(a, b, root_a, root_b): texts of different roots that are next to each other in the list of a key.
+    keyed: key, node, root. A range sort by key and a random number splits long lists over tasks."""
 
     def meet(batches):
         last = [np.zeros(0, np.int64)] * 3
@@ -398,20 +524,15 @@ def _neighbours(spark: SparkSession, sets: DataFrame, fold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x], node[y], root[x], root[y])], ["a", "b", "root_a", "root_b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = sets.select("node", "root", "shingles").mapInArrow(tidy(post), "key bigint, node bigint, root bigint").withColumn("turn", F.xxhash64("key", "node"))
+    postings = keyed.withColumn("turn", F.xxhash64("key", "node"))
     ordered = postings.repartitionByRange(n, "key", "turn").sortWithinPartitions("key", "turn").select("key", "node", "root")
     return ordered.mapInArrow(tidy(meet), "a bigint, b bigint, root_a bigint, root_b bigint").distinct()
 
 
-def _by_fingerprint(spark: SparkSession, scratch: Scratch, sets: DataFrame, similarity: float) -> DataFrame:
+def _by_fingerprint(spark: SparkSession, scratch: Scratch, t: _Texts) -> DataFrame:
     """(a, b), saved: the pairs that the fingerprint index links and that have the similarity. Texts of one
     fingerprint are paired with the next in a sort that splits long lists over tasks."""
 
-    def digest(batches):
-        for batch in batches:
-            fps = [majority(np.frombuffer(s, "<u8")) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8"))], ["node", "fp"])
-
     def chain(batches):
         last = [np.zeros(0, np.int64)] * 2
         for batch in batches:
@@ -421,84 +542,109 @@ def _by_fingerprint(spark: SparkSession, scratch: Scratch, sets: DataFrame, simi
             yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(node[hit + 1])], ["a", "b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fps = scratch.save(sets.select("node", "shingles").mapInArrow(tidy(digest), "node bigint, fp bigint"))
+    fps = t.classes.select("node", "fp")
     equal = fps.repartitionByRange(n, "fp", "node").sortWithinPartitions("fp", "node").select("fp", "node").mapInArrow(tidy(chain), "a bigint, b bigint")
     first = scratch.save(fps.groupBy("fp").agg(F.min("node").alias("node")))
     linked = links(first.select("fp")).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    found = _verified(scratch, equal.unionByName(linked).distinct(), sets, similarity)
-    scratch.drop(fps)
+    found = _verified(scratch, equal.unionByName(linked).distinct(), t)
     scratch.drop(first)
     return found
 
 
-def _folded(spark: SparkSession, scratch: Scratch, sets: DataFrame, n_texts: int, similarity: float) -> DataFrame:
+def _folded(spark: SparkSession, scratch: Scratch, t: _Texts) -> DataFrame:
     """(node, root): most of every crowd tied together, by the fingerprint index and then by rounds of
     neighbours under ever new keys.
 
     The first round takes in all texts. Each further one takes in the texts, with all of their group, that
     have met a text of another group without being similar, as members of crowds not yet whole do.
     """
-    ties, members = [_by_fingerprint(spark, scratch, sets, similarity)], None
-    active = sets.join(components(spark, ties[0]), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ties, members, shingle = [_by_fingerprint(spark, scratch, t)], None, t.shingle
+
+    def key(batches):
+        for batch in batches:
+            yield _keyed(batch, list(range(batch.num_rows)), batch.column(2).to_pylist())
+
+    active = t.classes.select("node", "lows").join(components(spark, ties[0]), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "lows")
+    keyed = active.mapInArrow(tidy(key), _KEYED)
     for fold in range(1000):
-        met = scratch.save(_neighbours(spark, active, fold))
+        met = scratch.save(_neighbours(spark, keyed))
         scratch.free_shuffles()
-        found = _verified(scratch, met.select("a", "b"), sets, similarity)
+        found = _verified(scratch, met.select("a", "b"), t)
         ties.append(found)
         if members:
             scratch.drop(members)
-        if found.count() <= FOLD_ON * n_texts and fold:
+        if found.count() <= FOLD_ON * t.n and fold:
             break
         roots = components(spark, functools.reduce(DataFrame.unionByName, ties))
         failed = met.join(found, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
         again = failed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
-        members = scratch.save(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(again, "root", "left_semi"))
+        members = scratch.save(t.classes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(again, "root", "left_semi"))
         scratch.drop(met)
-        active = sets.join(F.broadcast(members) if members.count() <= FEW else members, "node")
+
+        def key_again(batches, fold=fold + 1):
+            for batch, rows, sets in _sets(batches, shingle):
+                yield _keyed(batch, rows, [_lows(h, fold) for h in sets])
+
+        active = t.texts.join(F.broadcast(members) if members.count() <= FEW else members, "node").select("node", "root", "text")
+        keyed = active.mapInArrow(tidy(key_again), _KEYED)
     return components(spark, functools.reduce(DataFrame.unionByName, ties))
 
 
-def _candidates(scratch: Scratch, sets: DataFrame, roots: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
-    """(a, b): all pairs of different roots that may reach the similarity, by their prefixes."""
+def _candidates(scratch: Scratch, t: _Texts, roots: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """(a, b), saved: all pairs of different roots that may reach the similarity, by their prefixes. Keys are
+    dealt out to turns, one after the other."""
+    shingle, similarity = t.shingle, t.similarity
+    turns = min(TURNS, 1 + int((1 - similarity) * (t.classes.agg(F.sum("size")).first()[0] or 0)) // TURN_ROWS)
 
     def post(batches):
-        for batch in batches:
-            keys, at, places, sizes = [], [], [], []
-            for i, s in enumerate(batch.column(1).to_pylist()):
-                h = np.frombuffer(s, "<u8")
+        for batch, at, sets in _sets(batches, shingle):
+            keys, owner, places, sizes = [np.zeros(0, "<u8")], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for i, h in zip(at, sets, strict=True):
                 n = prefix_length(len(h), similarity)
-                first = np.lexsort((h, rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n]
+                first = np.argsort(rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:n]
                 keys.append(h[first])
-                at.append(np.full(n, i))
+                owner.append(np.full(n, i))
                 places.append(np.arange(n, dtype=np.int32))
                 sizes.append(np.full(n, len(h), dtype=np.int32))
-            at = pa.array(np.concatenate([np.zeros(0, np.int64), *at]))
-            keys = np.concatenate([np.zeros(0, "<u8"), *keys]).view("<i8")
-            places, sizes = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (places, sizes))
-            whole = pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(at), pa.array(places), pa.array(sizes)], ["key", "node", "place", "size"])
+            keys, owner, places, sizes = (np.concatenate(x) for x in (keys, owner, places, sizes))
+            whole = pa.RecordBatch.from_arrays([pa.array(keys.view("<i8")), batch.column(0).take(pa.array(owner)), pa.array(places), pa.array(sizes)], ["key", "node", "place", "size"])
             for start in range(0, max(1, whole.num_rows), _CHUNK):
                 yield whole.slice(start, _CHUNK)
 
-    postings = sets.select("node", "shingles").mapInArrow(tidy(post), "key bigint, node bigint, place int, size int")
-    postings = scratch.save(postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    scratch.free_shuffles()
-    # lists inside one group, as most are, have nothing to find
-    flipped = postings.groupBy(F.bitwise_not(F.col("key")).alias("_flipped")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    keys = scratch.save(flipped.select(F.bitwise_not(F.col("_flipped")).alias("key")))
-    scratch.free_shuffles()
-    wanted = scratch.save(_having(postings, keys))
+    postings = t.texts.mapInArrow(tidy(post), "key bigint, node bigint, place int, size int")
+    postings = scratch.save(postings.withColumn("turn", F.pmod("key", F.lit(turns)).cast("int")), *["turn"][: turns - 1])
+    known = F.broadcast(roots) if roots.count() <= FEW else roots
+    found = []
+    for turn in range(turns):
+        own = scratch.save(postings.filter(F.col("turn") == turn).drop("turn").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        # lists inside one group, as most are, have nothing to find
+        flipped = own.groupBy(F.bitwise_not(F.col("key")).alias("_flipped")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+        keys = scratch.save(flipped.select(F.bitwise_not(F.col("_flipped")).alias("key")))
+        scratch.free_shuffles()
+        # once for every node, of which several tasks may have had a text
+        wanted = scratch.save(_having(own, keys).dropDuplicates(["key", "node"]))
+        scratch.drop(own)
+        scratch.drop(keys)
+        scratch.free_shuffles()
+        nodes = scratch.save(wanted.select("node").distinct())
+        mapped = scratch.save(wanted.join(_having(t.classes.select("node", *_MAPS), nodes), "node"))
+        scratch.drop(wanted)
+        scratch.drop(nodes)
+        scratch.free_shuffles()
+        # what two sets share is at most what lies before, at and behind a common shingle
+        place_a, place_b, size_a, size_b = (F.col(c) for c in ("a.place", "b.place", "a.size", "b.size"))
+        most = F.least(place_a, place_b) + F.least(size_a - place_a, size_b - place_b)
+        enough = most >= F.lit(similarity / (1 + similarity)) * (size_a + size_b) - _SLACK
+        # both sides are one table of the same columns, so that it is shuffled once
+        met = mapped.alias("a").hint("merge").join(mapped.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & enough & _may_reach(similarity))
+        found.append(scratch.save(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()))
+        scratch.drop(mapped)
+        scratch.free_shuffles()
     scratch.drop(postings)
-    scratch.drop(keys)
-    mapped = scratch.save(wanted.join(_having(sets.select("node", *_MAPS), scratch.save(wanted.select("node").distinct())), "node"))
-    scratch.drop(wanted)
-    scratch.free_shuffles()
-    # what two sets share is at most what lies before, at and behind a common shingle
-    place_a, place_b, size_a, size_b = (F.col(c) for c in ("a.place", "b.place", "a.size", "b.size"))
-    most = F.least(place_a, place_b) + F.least(size_a - place_a, size_b - place_b)
-    enough = most >= F.lit(similarity / (1 + similarity)) * (size_a + size_b) - _SLACK
-    # both sides are one table of the same columns, so that it is shuffled once
-    met = mapped.alias("a").hint("merge").join(mapped.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & enough & _may_reach(similarity))
-    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    out = scratch.save(functools.reduce(DataFrame.unionByName, found).distinct()) if turns > 1 else found.pop()
+    for one in found:
+        scratch.drop(one)
+    return out
 
 
 def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -512,51 +658,51 @@ def similar_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     posts the prefix of its set, from rare to common shingles, and two classes that reach the similarity
     share a posting's key. Lists whose classes are all of one group are passed over, as links inside a
     group add nothing; all pairs between groups in the others that can reach the similarity by size,
-    place and parity map are verified. Texts without words are copies of each other.
+    place and parity maps are verified. Texts without words are copies of each other.
+
+    On disk are the texts, compressed, beside what a row and a class are known by; a set is made from its
+    text whenever it is needed.
     """
     scratch = Scratch(spark, "similar")
     slim = columns_free_of(docs, id_col, text_col).toDF("doc_id", "text")
     keyed = slim.select(*row_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
+    traits = {"size": pa.int32(), **{m: pa.int64() for m in _MAPS}, "wide": pa.binary(), "fp": pa.int64(), "lows": pa.binary()}
 
-    def distinct_shingles(texts):
-        return [np.unique(shingle_hashes(words_of(t or b""), shingle)).astype("<u8").tobytes() for t in texts.to_pylist()]
-
-    def digest(batches):
-        for batch in batches:
-            digests = [xxhash.xxh3_128_digest(s) for start in range(0, batch.num_rows, 512) for s in distinct_shingles(batch.column(3).slice(start, 512))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary())], ["row_hi", "row_lo", "doc_id", "digest"])
-
-    def shingle_sets(batches):
+    def describe(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                some = batch.slice(start, 512)
-                sets = distinct_shingles(some.column(1))
-                maps = np.array([_parity(np.frombuffer(x, "<u8")) for x in sets], "<i8").reshape(-1, MAP_WORDS)
-                sizes = pa.array([len(x) // 8 for x in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary()), sizes, *(pa.array(maps[:, i].copy()) for i in range(MAP_WORDS))], ["node", "shingles", "size", *_MAPS])
-
-    rows = scratch.save(keyed.mapInArrow(tidy(digest), "row_hi bigint, row_lo bigint, doc_id bigint, digest binary"))
+            digests, found = [], []
+            for text in batch.column(3):
+                h = _distinct(shingle_hashes(words_of(text.as_py() or b""), shingle))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                found.append((len(h), *np.frombuffer(_parity(h), "<i8").tolist(), _wide(h), int(np.array(majority(h), "<u8").view("<i8")), _lows(h, 0)))
+            columns = zip(*found, strict=True) if found else [[] for _ in traits]
+            told = [pa.array(x, kind) for x, kind in zip(columns, traits.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), *told], ["row_hi", "row_lo", "doc_id", "text", "digest", *traits])
+
+    kinds = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary"}
+    told = ", ".join(f"{k} {kinds[v]}" for k, v in traits.items())
+    rows = keyed.mapInArrow(tidy(describe), f"row_hi bigint, row_lo bigint, doc_id bigint, text binary, digest binary, {told}")
+    rows = scratch.save(rows.withColumn("node", F.xxhash64("digest")).drop("digest"), codec="zstd")
     # nulls last: a known id is preferred
     who = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hi", "row_lo")
-    classes = scratch.save(rows.groupBy("digest").agg(F.min(who).alias("first")).withColumn("node", F.xxhash64("digest")).drop("digest"))
-    # of each class the text of its first row; rows of equal keys are equal
-    firsts = classes.select("node", "first.row_hi", "first.row_lo")
-    texts = keyed.select("row_hi", "row_lo", "text").dropDuplicates(["row_hi", "row_lo"]).join(firsts, ["row_hi", "row_lo"])
-    sets = scratch.save(texts.select("node", "text").mapInArrow(tidy(shingle_sets), "node bigint, shingles binary, size int, " + ", ".join(f"{m} bigint" for m in _MAPS)))
-    scratch.free_shuffles()
-    n_texts = classes.count()
-    roots = _folded(spark, scratch, sets, n_texts, similarity)
-    rarity = _rarity(spark, sets, n_texts)
+    # rows of a node have equal traits
+    classes = scratch.save(rows.groupBy("node").agg(F.min(who).alias("first"), F.first(F.struct(*traits)).alias("t")).select("node", "first", "t.*"))
     scratch.free_shuffles()
-    candidates = _candidates(scratch, sets, roots, rarity, similarity)
-    links = _verified(scratch, candidates, sets, similarity, bounded=True)
-    scratch.drop(sets)
+    t = _Texts(rows.select("node", "text"), classes, classes.count(), shingle, similarity)
+    roots = _folded(spark, scratch, t)
+    rarity = _rarity(spark, t)
     scratch.free_shuffles()
+    links = _verified(scratch, _candidates(scratch, t, roots, rarity), t, bounded=True)
     # what the first round tied is a star around its root by now
     roots = components(spark, links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keep")).select("keep.row_hi", "keep.row_lo").withColumn("keeper", F.lit(True))
-    return rows.select("row_hi", "row_lo").distinct().join(keepers, ["row_hi", "row_lo"], "left").withColumn("keeper", F.coalesce("keeper", F.lit(False)))
+    told = rows.select("row_hi", "row_lo").distinct().join(keepers, ["row_hi", "row_lo"], "left").withColumn("keeper", F.coalesce("keeper", F.lit(False)))
+    out = scratch.save(told)
+    scratch.drop(rows)
+    scratch.drop(classes)
+    scratch.free_shuffles()
+    return out
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -564,4 +710,4 @@ def drop_similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     keepers = similar_texts(spark, docs, id_col, text_col, shingle, similarity).filter("keeper").select("row_hi", "row_lo")
     hi, lo = row_key(docs[id_col], docs[text_col])
     whole = docs.select(hi, lo, F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("row_hi", "row_lo").agg(F.first("row").alias("row"))
-    return whole.join(Scratch(spark, "keepers").save(keepers), ["row_hi", "row_lo"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return whole.join(keepers, ["row_hi", "row_lo"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Exact dedup, line dedup and SimHash against brute force."""
 
 import hashlib
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -302,3 +303,74 @@ def test_sets_travel_only_for_pairs_that_bounds_leave(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_possible", lambda *a: (left.append(r := possible(*a)), [left.append(r.count()), r][1])[1])
     assert sorted(r.doc_id for r in simhash.drop_similar(spark, df).collect()) == list(range(12))
     assert max(n for n in left if isinstance(n, int)) == 1
+
+
+def test_shingle_sets_are_equal_where_words_are():
+    """The quick hashes against sets of the shingles themselves."""
+    rng = np.random.default_rng(21)
+    words = [b"a", b"A", b"ab", b"b" * 8, b"b" * 9, b"\0", b"\0\0", b"c" * 64, b"c" * 65, b"D" * 200, "é".encode(), b"abcdefgh", b"abcdefghi", b"12345678i"]
+    spaces = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"  \n"]
+    texts = [None, b"", b" \n", b"A b", b"a B", b"a", b"A b c d e", b"a b c d e f"]
+    for _ in range(200):
+        texts.append(b"".join(words[int(rng.integers(len(words)))] + spaces[int(rng.integers(len(spaces)))] for _ in range(int(rng.integers(0, 30)))))
+    for n in (1, 3, 5):
+        want = [set(simhash.shingles_of(simhash.words_of(t or b""), n)) for t in texts]
+        got = [set(s.tolist()) for s in simhash.shingle_sets(texts, n)]
+        assert [len(x) for x in got] == [len(x) for x in want]
+        assert all(len(a & b) == len(x & y) for a, x in zip(got, want, strict=True) for b, y in zip(got, want, strict=True))
+        assert [set(simhash.shingle_sets([t], n)[0].tolist()) for t in texts] == got  # whatever the neighbours
+    assert simhash.shingle_sets([], 5) == []
+
+
+def test_wide_maps_bound_the_difference():
+    rng = np.random.default_rng(22)
+    for n in (600, 1000, 1030, 5000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert simhash._apart(simhash._wide(a), simhash._wide(a)) == 0
+        for m in (0, 1, 50, n):  # so many more, besides as many of a's less
+            b = np.unique(np.concatenate([a[m // 2 :], rng.integers(0, 2**64, m, dtype=np.uint64)]))
+            apart = simhash._apart(simhash._wide(a), simhash._wide(b)) if len(b) > 512 else 0
+            assert apart <= len(np.setxor1d(a, b))
+        b = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert simhash._apart(simhash._wide(a), simhash._wide(b)) > 2 * n / 9  # what 0.8 allows
+    assert simhash._wide(a[:512]) is None
+
+
+def test_similar_texts_take_little_disk(spark, monkeypatch):
+    """No table is larger than the texts; long texts that share a passage only do not travel to be compared."""
+    rng = np.random.default_rng(23)
+    passage = [f"p{k}" for k in range(60)]
+    rows, same = [], 20
+    for i in range(60):
+        base = [f"w{k}" for k in rng.integers(0, 200, 1500)]
+        rows.append(" ".join([*base[:700], *passage, *base[700:]]))
+    for i in range(same):
+        rows.append(rows[i] + " and an end")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(4)
+    sizes, pairs, save, narrowed = [], [], common.Scratch.save, simhash._narrowed
+
+    def spy(self, *a, **k):
+        out = save(self, *a, **k)
+        sizes.append(sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(out.saved_at.removeprefix("file:")) for f in names if f.endswith(".parquet")))
+        return out
+
+    def spy_narrowed(scratch, found, t):
+        before = found.count()
+        pairs.append((before, (out := narrowed(scratch, found, t)).count()))
+        return out
+
+    def run():
+        sizes.clear()
+        pairs.clear()
+        return {r.doc_id for r in simhash.drop_similar(spark, df).collect()}
+
+    monkeypatch.setattr(common.Scratch, "save", spy)
+    monkeypatch.setattr(simhash, "_narrowed", spy_narrowed)
+    monkeypatch.setattr(simhash, "COUNTERS", 1)  # nothing is known to be rare, so the passage is met under
+    assert run() == set(range(60))
+    assert 0 < max(sizes) < sum(map(len, rows))
+    assert pairs[-1][0] > 1000 and sum(p[1] for p in pairs) <= 4 * same
+    whole = len(sizes)
+    monkeypatch.setattr(simhash, "TURN_ROWS", 10_000)  # more turns find the same, and joins without broadcasts
+    monkeypatch.setattr(simhash, "FEW", 1)
+    assert run() == set(range(60)) and len(sizes) > whole + 10
